@@ -94,3 +94,12 @@ def small_batches(batches: Iterator[pa.RecordBatch], column: str = "text", most:
 
 def any_of(columns: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, columns)
+
+
+def sampled(df: DataFrame, id_col: str, most: int) -> DataFrame:
+    """A bounded sample of rows for fitting: those whose seeded id hash falls below ``most`` of ``count``; at most twice ``most`` rows.
+
+    It needs no order over the table, so no task holds more than its share.
+    """
+    n = max(1, df.count())
+    return df.where(F.pmod(F.xxhash64(F.lit("sample"), F.col(id_col)), F.lit(n)) < most).limit(2 * most)

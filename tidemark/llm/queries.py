@@ -23,6 +23,12 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(documents(spark, sf_dir), tokenizer_path())
 
 
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language import classify_language
+
+    return classify_language(documents(spark, sf_dir))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality_rules import quality_rules
 
@@ -41,14 +47,32 @@ def op5_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_documents(documents(spark, sf_dir))
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .simhash import near_duplicates
+
+    return near_duplicates(documents(spark, sf_dir))
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_classifier import classify_quality
+
+    return classify_quality(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .secrets import scan_secrets
 
     return scan_secrets(documents(spark, sf_dir))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import classify_toxicity
+
+    return classify_toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_packing, op3_quality_rules, op4_mixing, op5_merkle, op8_secrets)
+    f.__name__: f for f in (op1_packing, op2_language, op3_quality_rules, op4_mixing, op5_merkle, op6_simhash, op7_quality, op8_secrets, op9_toxicity)
 }
 
 ORACLES: dict[str, str] = {}
