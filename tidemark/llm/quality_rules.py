@@ -83,14 +83,14 @@ def quality_rules(
     text_col: str = "text",
     host_col: str = "source",
     max_docs_per_line: int = 50,
-    min_kept_share: float = 0.3,
+    min_kept_percent: int = 30,
     min_words: int = 50,
     max_repeat_percent: int = 50,
 ) -> DataFrame:
     """Base counts and verdict for each row of ``docs``.
 
     A line in more than ``max_docs_per_line`` distinct documents of a host is removed from all but
-    the first; a document that keeps less than ``min_kept_share`` of its words is rejected.
+    the first; a document that keeps less than ``min_kept_percent`` of its words is rejected.
     """
     narrow = written(line_counts(docs, id_col, text_col, host_col), "lines")
     host = F.coalesce(F.concat(F.lit("v"), F.col("_host").cast("string")), F.lit("n")).alias("_h")
@@ -119,7 +119,7 @@ def quality_rules(
             F.col("_id").alias("doc_id"),
             "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
             failed.alias("base_failed"),
-            (~failed & (left >= min_kept_share * F.col("n_words"))).alias("kept"),
+            (~failed & (100 * left >= min_kept_percent * F.col("n_words"))).alias("kept"),
             (F.col("n_words") - left).cast("long").alias("n_removed_words"),
         )
     )

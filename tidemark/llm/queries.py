@@ -71,8 +71,55 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify_toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix_dedup import remove_repeats
+
+    return remove_repeats(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_packing, op2_language, op3_quality_rules, op4_mixing, op5_merkle, op6_simhash, op7_quality, op8_secrets, op9_toxicity)
+    f.__name__: f for f in (op1_packing, op2_language, op3_quality_rules, op4_mixing, op5_merkle, op6_simhash, op7_quality, op8_secrets, op9_toxicity, op10_suffix_dedup)
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op3_quality_rules": r"""
+        WITH d AS (
+            SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS text FROM documents
+        ), w AS (
+            SELECT r, list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), x -> x <> '') AS words,
+                   string_split(text, chr(10)) AS lines, text, doc_id, source FROM d
+        ), triples AS (
+            SELECT r, i, words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] AS t
+            FROM (SELECT r, words, unnest(range(1, len(words) - 1)) AS i FROM w)
+        ), again AS (
+            SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, t) AS n FROM triples) WHERE n > 1
+        ), covered AS (
+            SELECT r, count(DISTINCT j) AS n FROM (SELECT r, unnest([i, i + 1, i + 2]) AS j FROM again) GROUP BY r
+        ), ln AS (
+            SELECT r, unnest(list_filter(lines, x -> regexp_matches(x, '[^\x20\x09-\x0D]'))) AS line FROM w
+        ), dup AS (
+            SELECT r, count(*) - count(DISTINCT line) AS n FROM ln GROUP BY r
+        ), normal AS (
+            SELECT l.r, coalesce('v' || source, 'n') AS h, md5(text) AS k, doc_id,
+                   lower(trim(regexp_replace(line, '[\x20\x09-\x0D]+', ' ', 'g'))) AS line FROM ln l JOIN w USING (r)
+        ), lines AS (
+            SELECT h, line, count(DISTINCT k) AS n,
+                   min({'a': doc_id IS NULL, 'b': coalesce(doc_id, 0), 'k': k}) AS first FROM normal GROUP BY h, line
+        ), gone AS (
+            SELECT r, sum(len(string_split(n.line, ' '))) AS n FROM normal n JOIN lines l USING (h, line)
+            WHERE l.n > 50 AND l.first.k <> n.k GROUP BY r
+        ), base AS (
+            SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words,
+                   CAST(length(array_to_string(words, '')) AS BIGINT) AS word_chars,
+                   CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+                   CAST(coalesce(dup.n, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(covered.n, 0) AS BIGINT) AS n_repeat_words,
+                   CAST(coalesce(gone.n, 0) AS BIGINT) AS n_removed_words
+            FROM w LEFT JOIN covered USING (r) LEFT JOIN dup USING (r) LEFT JOIN gone USING (r)
+        )
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+               n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+               NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND 100 * (n_words - n_removed_words) >= 30 * n_words AS kept,
+               n_removed_words
+        FROM base
+    """,
+}
