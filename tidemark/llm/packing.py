@@ -14,6 +14,7 @@ Null or empty text: the end id alone. Equal rows are packed separately. A null i
 
 from __future__ import annotations
 
+import functools
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -29,50 +30,82 @@ from .common import small_batches, texts
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-class Irregular(Exception):
-    """White space next to white space: pieces between single spaces aren't independent."""
+#: ASCII punctuation that may follow a word; a run of it is a word of its own to the pattern. No apostrophe: contractions.
+MARKS = ".,;:!?\"()[]{}<>*#$%&|/\\-_+=~`@^"
 
 
-class PieceCache(dict):
-    """Ids, as little-endian bytes, of the text between two single spaces (with the space before it).
+class ByteBpe:
+    """Texts to ids of a ``tokenizers`` file with a byte-level pre-tokenizer, as little-endian bytes; equal to encoding each whole text.
 
-    The byte-level pattern begins a new word at a space that a non-space follows, so such pieces
-    can be encoded apart. A key that begins with a line feed stands for a piece without that space.
+    The byte-level pattern begins a new word at a space that a non-space follows, so what lies
+    between single spaces can be encoded apart, once for a batch. A piece of letters, with a line
+    feed before or marks after, is split further; new words of letters are encoded together.
+    Texts with white space next to white space are encoded whole.
     """
 
-    def __init__(self, encode, most: int = 400_000):
-        super().__init__()
-        self.encode, self.most = encode, most
-
-    def __missing__(self, key: str) -> bytes:
-        body = key[1:] if key[:1] == "\n" else key
-        if not body or body[0].isspace() or body[-1].isspace():
-            raise Irregular
-        if len(self) >= self.most:
-            self.clear()
-        self[key] = ids = self.encode(key if key[0] == "\n" else " " + key)
-        return ids
-
-
-class ByteBpe:
-    """Texts to ids of a ``tokenizers`` file with a byte-level pre-tokenizer; equal to encoding the whole text."""
-
-    def __init__(self, path: str):
+    def __init__(self, path: str, most: int = 800_000):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.pieces = PieceCache(self.whole)
+        self.tokenizer, self.most = Tokenizer.from_file(path), most
+        self.pieces: dict[str, bytes | None] = {}
         self.line_feed = self.whole("\n")
+        self.marks: dict[str, bytes] = {"": b""}
 
     def whole(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def __call__(self, text: str) -> bytes:
-        try:
-            ids = b"".join(map(self.pieces.__getitem__, ("\n" + text).replace("\n", " \n").split(" ")[1:]))
-            return ids[len(self.line_feed):]
-        except Irregular:
-            return self.whole(text)
+    def words(self, words: list[str], before: str) -> list[bytes]:
+        """Ids of words of letters, each after a space or a line feed (whose own id is left out)."""
+        out: list[bytes] = []
+        for at in range(0, len(words), 256):
+            part = words[at : at + 256]
+            found = self.tokenizer.encode(before + before.join(part), add_special_tokens=False)
+            ids, owner = np.array(found.ids, "<u4"), np.array(found.word_ids)
+            cuts = np.concatenate(([0], np.flatnonzero(np.diff(owner)) + 1, [len(ids)]))
+            step = 1 if before == " " else 2
+            if len(cuts) - 1 == step * len(part):
+                raw, ends = ids.tobytes(), (4 * cuts).tolist()
+                out += [raw[ends[i] : ends[i + 1]] for i in range(step - 1, len(ends) - 1, step)]
+            else:
+                out += [self.whole(" " + w) if step == 1 else self.whole("\n" + w)[len(self.line_feed) :] for w in part]
+        return out
+
+    def learn(self, missing: set[str]) -> None:
+        """A key that begins with a line feed stands for a piece after it, without a space; others follow a space. None: irregular."""
+        spaced: dict[str, list] = {}
+        lined: dict[str, list] = {}
+        for key in missing:
+            lf, bare = key[:1] == "\n", key.rstrip(MARKS)
+            word, mark = bare[lf:], key[len(bare) :]
+            if word.isalpha():
+                if mark not in self.marks:
+                    self.marks[mark] = self.whole(mark)
+                (lined if lf else spaced).setdefault(word, []).append((key, self.marks[mark]))
+            elif not (body := key[lf:]) or body[0].isspace() or body[-1].isspace():
+                self.pieces[key] = None
+            else:
+                self.pieces[key] = self.whole(key if lf else " " + key)
+        for found, before, head in ((spaced, " ", b""), (lined, "\n", self.line_feed)):
+            for ids, keys in zip(self.words(list(found), before), found.values()):
+                for key, mark in keys:
+                    self.pieces[key] = head + ids + mark
+
+    def __call__(self, batch: list[str]) -> Iterator[bytes]:
+        split = [("\n" + t).replace("\n", " \n").split(" ")[1:] for t in batch]
+        if len(self.pieces) > self.most:
+            self.pieces.clear()
+            self.marks = {"": b""}
+        self.learn(set().union(*split).difference(self.pieces))
+        get = self.pieces.__getitem__
+        for text, parts in zip(batch, split):
+            ids = list(map(get, parts))
+            yield self.whole(text) if None in ids else b"".join(ids)[len(self.line_feed) :]
+
+
+@functools.cache
+def encoder(path: str) -> ByteBpe:
+    """One for each worker process, so that its pieces serve the next task too."""
+    return ByteBpe(path)
 
 
 class SumOfSquares:
@@ -116,7 +149,7 @@ class SumOfSquares:
 
 def packer(path: str, end_id: int, window: int, max_open: int):
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = ByteBpe(path), np.uint32(end_id).astype("<u4").tobytes()
+        encode, end = encoder(path), np.uint32(end_id).astype("<u4").tobytes()
         state, rows = SumOfSquares(window), []
         number = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 36
 
@@ -161,8 +194,8 @@ def packer(path: str, end_id: int, window: int, max_open: int):
             return out
 
         for b in small_batches(batches):
-            for doc, text in zip(b.column(0).to_pylist(), texts(b)):
-                ids = encode(text) + end
+            for doc, ids in zip(b.column(0).to_pylist(), encode(texts(b))):
+                ids += end
                 n = len(ids) // 4
                 for start in range(0, n, window):
                     piece = ids[4 * start : 4 * (start + window)]

@@ -86,7 +86,7 @@ ORACLES: dict[str, str] = {
         WITH d AS (
             SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS text FROM documents
         ), w AS (
-            SELECT r, list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), x -> x <> '') AS words,
+            SELECT r, list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words,
                    string_split(text, chr(10)) AS lines, text, doc_id, source FROM d
         ), triples AS (
             SELECT r, i, words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] AS t
@@ -96,7 +96,7 @@ ORACLES: dict[str, str] = {
         ), covered AS (
             SELECT r, count(DISTINCT j) AS n FROM (SELECT r, unnest([i, i + 1, i + 2]) AS j FROM again) GROUP BY r
         ), ln AS (
-            SELECT r, unnest(list_filter(lines, x -> regexp_matches(x, '[^\x20\x09-\x0D]'))) AS line FROM w
+            SELECT r, unnest(list_filter(lines, lambda x: regexp_matches(x, '[^\x20\x09-\x0D]'))) AS line FROM w
         ), dup AS (
             SELECT r, count(*) - count(DISTINCT line) AS n FROM ln GROUP BY r
         ), normal AS (
