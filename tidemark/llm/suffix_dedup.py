@@ -106,14 +106,14 @@ def repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by gram, spokesmen first: those alone in their batch of which a neighbour has the same gram."""
     held = None
     for b in then_none(batches):
-        columns = None if b is None else [c.to_numpy(zero_copy_only=False) for c in b.columns]
+        columns = None if b is None else [*(c.to_numpy(zero_copy_only=False) for c in b.columns), np.zeros(b.num_rows, bool)]
         if columns is not None and not len(columns[0]):
             continue
         if held is not None:
             columns = held if columns is None else [np.concatenate(x) for x in zip(held, columns)]
         if columns is None:
             continue
-        h, doc, place, kind, back = columns if held is not None else [*columns, np.zeros(len(columns[0]), bool)]
+        h, doc, place, kind, back = columns
         n = len(h) if b is None else len(h) - 1
         same = h[1:] == h[:-1]
         hit = np.concatenate(([False], same)) | np.concatenate((same, [False])) | back
