@@ -28,10 +28,12 @@ from pyspark.sql import functions as F
 from .common import crc_bucket, sampled, small_batches, texts
 from .quality_classifier import labelled
 
-SAMPLE = 2_000
+SAMPLE = 1_500
 WINDOW, STRIDE = 16, 8
 WIDTH, HIDDEN = 16, 8
 WORDS, GRAMS = 1 << 12, 1 << 13
+#: Words whose n-grams are in memory at once.
+CHUNK = 20_000
 PUNCTUATION = ".,;:!?\"'()[]{}<>*#$%&|/\\-_+=~`"
 
 
@@ -184,8 +186,10 @@ class Units:
     """Hashes of a list of words (number 0, the blank, has none), flat."""
 
     def __init__(self, words: list[str]):
-        hashes, self.grams, sizes = units(words)
-        self.words, self.sizes = np.concatenate([[0], hashes]), np.concatenate([[0], sizes])
+        parts = [units(words[at : at + CHUNK]) for at in range(0, len(words), CHUNK)]
+        self.words = np.concatenate([[0], *(p[0] for p in parts)])
+        self.grams = np.concatenate([p[1].astype(np.int16) for p in parts])
+        self.sizes = np.concatenate([[0], *(p[2] for p in parts)])
         self.starts = np.concatenate(([0], np.cumsum(self.sizes)))[:-1]
 
     def of(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -301,10 +305,11 @@ class Fitter:
 
     def logits(self) -> np.ndarray:
         """Of all windows."""
-        words, grams, sizes = self.known.of(np.arange(1, len(self.known.words)))
-        starts = np.concatenate(([0], np.cumsum(sizes)))[:-1]
-        vectors = np.add.reduceat(self.net.p["gram"][grams], starts, axis=0) / sizes[:, None] + self.net.p["word"][words]
-        vectors = np.concatenate([np.zeros((1, WIDTH)), vectors]).astype(np.float32)
+        vectors = np.zeros((len(self.known.words), WIDTH), np.float32)
+        for at in range(1, len(vectors), CHUNK):
+            words, grams, sizes = self.known.of(np.arange(at, min(at + CHUNK, len(vectors))))
+            starts = np.concatenate(([0], np.cumsum(sizes)))[:-1]
+            vectors[at : at + CHUNK] = np.add.reduceat(self.net.p["gram"][grams], starts, axis=0) / sizes[:, None].astype(np.float32) + self.net.p["word"][words]
         f, b = self.net._inputs(vectors, "f"), self.net._inputs(vectors, "b")
         out = np.zeros(len(self.ids))
         for at in range(0, len(out), 4096):
@@ -316,15 +321,17 @@ def fit(texts_: list[str], y: np.ndarray, rounds: int = 7, most: int = 6_000, se
     """Round 0 takes random windows under their document's label; later rounds take the worst windows (see the module)."""
     flat = Network({k: np.zeros(s, np.float32) for k, s in SHAPES.items()}, flat=float(y.mean()) if len(y) else 0.0)
     vocabulary = Vocabulary()
-    split = [t.lower().split() for t in texts_]
-    counts = [len(w) for w in split]
-    numbers = np.fromiter((vocabulary[w] for words in split for w in words), np.int32, sum(counts))
+    numbered = [np.fromiter((vocabulary[w] for w in t.lower().split()), np.int32) for t in texts_]
+    counts = [len(x) for x in numbered]
+    numbers = np.concatenate([np.zeros(0, np.int32), *numbered])
     first, owners = windows(counts)
     bad, good = np.flatnonzero(y[owners] == 1), np.flatnonzero(y[owners] == 0)
     if not len(bad) or not len(good):
         return flat
-    place = first[:, None] + np.arange(WINDOW)
-    ids = np.where(place < np.cumsum(counts)[owners][:, None], numbers[np.minimum(place, len(numbers) - 1)], 0)
+    ends = np.cumsum(counts)[owners]
+    ids = np.zeros((len(first), WINDOW), np.int32)
+    for t in range(WINDOW):
+        ids[:, t] = np.where(first + t < ends, numbers[np.minimum(first + t, len(numbers) - 1)], 0)
     fitter = Fitter(Units(vocabulary.news), ids, seed)
     rng = fitter.rng
 
