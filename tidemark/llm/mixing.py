@@ -114,17 +114,24 @@ def mix(
     def fitted(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("size")
         size, target = int(group["source_size"].iloc[0]), float(group["target"].iloc[0])
-        base = int(target >= size and size > 0)
-        take = fit_budget(group["size"].tolist(), group["n"].tolist(), int(round(target)) - base * size)
-        return pd.DataFrame({"_s": group["_s"], "size": group["size"], "source_size": size, "target": target, "_base": base, "_take": take})
-
-    plan = histogram.join(goals, "_s").groupBy("_s").applyInPandas(fitted, "_s string, size long, source_size long, target double, _base long, _take long")
+        lengths, counts = group["size"].tolist(), group["n"].tolist()
+        budget = int(round(target))
+        base = int(target >= size)
+        take = [base * n + k for n, k in zip(counts, fit_budget(lengths, counts, budget - base * size))]
+        left = budget - sum(n * k for n, k in zip(lengths, take))
+        if left > 0:  # second copies may fit where no document does
+            more = fit_budget(lengths, [2 * n - k for n, k in zip(counts, take)], left)
+            take = [k + m for k, m in zip(take, more)]
+        return pd.DataFrame({"_s": group["_s"], "size": group["size"], "source_size": size, "target": target, "_n": counts, "_take": take})
+
+    plan = histogram.join(goals, "_s").groupBy("_s").applyInPandas(fitted, "_s string, size long, source_size long, target double, _n long, _take long")
     plan = written(plan, "mix-plan")
     earlier = Window.partitionBy("_s", "size").orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
     offsets = slot_counts.withColumn("_off", F.coalesce(F.sum("n").over(earlier), F.lit(0))).join(plan, ["_s", "size"]).drop("n")
     rank = F.row_number().over(Window.partitionBy("_s", "size", "_slot").orderBy("_x", "doc_id")) + F.col("_off")
+    copies = (F.col("_rank") <= F.col("_take")).cast("long") + (F.col("_rank") <= F.col("_take") - F.col("_n")).cast("long")
     return (
         sized.join(offsets, ["_s", "size", "_slot"])
         .withColumn("_rank", rank)
-        .select("doc_id", "size", "source_size", "target", (F.col("size") * (F.col("_base") + (F.col("_rank") <= F.col("_take")).cast("long"))).alias("taken"))
+        .select("doc_id", "size", "source_size", "target", (F.col("size") * copies).alias("taken"))
     )

@@ -120,11 +120,11 @@ class SumOfSquares:
     def place(self, piece: tuple) -> list | None:
         """The window's pieces if this one fills it."""
         n, w = piece[2], self.window
-        # Level 0 stands for a new window. The change of the sum of squares, halved and less a constant:
-        change = np.empty(w - n + 1, np.int64)
-        change[:] = self.counts[n:] - self.counts[: w - n + 1]
+        # What each level's choice adds to the sum of squares; level 0 stands for a new window, full ones don't count.
+        change = 2 * (self.counts[n:] - self.counts[: w - n + 1]) + 2
+        change[-1] -= 1
         change[self.counts[: w - n + 1] == 0] = np.iinfo(np.int64).max
-        change[0] = self.counts[n]
+        change[0] = 2 * self.counts[n] + 1 if n < w else 0
         at = int(change.argmin())
         if at + n == w and at == 0:
             return [piece]

@@ -87,7 +87,7 @@ def fit(x: np.ndarray, y: np.ndarray, n_trees: int = 80, depth: int = 4, rate: f
     rate_of = float(y.mean()) if len(y) else 0.5
     base = float(np.log(max(rate_of, 1e-3) / max(1 - rate_of, 1e-3)))
     feature, cut, left, value, roots = [], [], [], [], []
-    if 0 < rate_of < 1:
+    if len(y) and 0 < rate_of < 1:
         edges = [np.unique(np.quantile(c, np.linspace(0, 1, bins + 1)[1:-1])) for c in x.T]
         binned = np.stack([np.searchsorted(e, c, side="left") for e, c in zip(edges, x.T)], axis=1)
         n_features = x.shape[1]
