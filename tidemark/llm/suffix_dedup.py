@@ -35,6 +35,7 @@ from .common import free_shuffles, release, sampled, small_batches, texts, writt
 GRAM = 32
 SLICE = 1 << 20
 RUN = 200_000
+SPANS = 200_000
 LAST = (1 << 63) - 1
 
 
@@ -230,45 +231,62 @@ def merged(runs: list[Run]) -> Iterator[tuple[int, tuple]]:
             node >>= 1
 
 
-def starts_to_spans(doc: tuple[int, int], starts: list[tuple[int, int]], length: int, out: list) -> None:
-    """Runs (first, last) of starts whose strings go."""
-    out.extend((doc[0], doc[1], a, b + length) for a, b in starts)
-
-
 def resolve(group: list[tuple], length: int, out: list) -> None:
-    """Spans of a group of entries with one gram: starts in an entry's window whose string an earlier entry holds too."""
-    group.sort(key=lambda e: (e[2], e[3], e[4]))
+    """Spans (order, doc, start, stop) of a group of entries with one gram: strings in an entry's window that an earlier entry holds too."""
+    group.sort(key=lambda e: e[2:])
+    first: dict[tuple[bytes, bytes], tuple] = {}
+    for e in group:
+        if first.setdefault((e[0], e[1]), e) is not e:
+            whole_window(e, length, out)
+    group = list(first.values())
     if len(group) <= 8:
         for j in range(1, len(group)):
             right, left, order, doc, place = group[j]
-            spans = []
             for i in range(j):
                 r, lo = common(group[i][0], right), common(group[i][1], left)
                 if r + lo >= length:
-                    spans.append((place - lo, place + min(r, length) - length))
-            starts_to_spans((order, doc), spans, length, out)
+                    out.append((order, doc, place - lo, place + min(r, length)))
         return
-    # All windows at once: rows are left context, right context; a start is ``width - 1 - a`` for offset a.
+    # Texts of the windows; a start lies ``a`` bytes before the gram. One pass for each start, linear in the group.
     width = length - GRAM + 1
-    cells = np.zeros((len(group), width - 1 + length), np.uint8)
-    have = np.zeros((len(group), 2), np.int64)
-    for i, (right, left, *_) in enumerate(group):
-        cells[i, width - 1 - len(left) : width - 1] = np.frombuffer(left[::-1], np.uint8)
-        cells[i, width - 1 : width - 1 + len(right)] = np.frombuffer(right, np.uint8)
-        have[i] = len(left), len(right)
-    for start in range(width):
-        a = width - 1 - start
-        able = np.flatnonzero((have[:, 0] >= a) & (have[:, 1] >= length - a))
-        if len(able) < 2:
-            continue
-        window = np.ascontiguousarray(cells[able, start : start + length]).view(f"V{length}").ravel()
-        seen: dict[bytes, int] = {}
-        for i, value in zip(able.tolist(), window.tolist()):
-            if value in seen:
-                place = group[i][4] - a
-                starts_to_spans(group[i][2:4], [(place, place)], length, out)
-            else:
-                seen[value] = i
+    windows = [(e[1][::-1] + e[0], len(e[1])) for e in group]
+    gone: list[list[int]] = [[] for _ in group]
+    for a in range(width):
+        seen: set[bytes] = set()
+        for i, (text, at) in enumerate(windows):
+            if a <= at:
+                value = text[at - a : at - a + length]
+                if len(value) == length:
+                    if value in seen:
+                        gone[i].append(a)
+                    else:
+                        seen.add(value)
+    for e, starts in zip(group, gone):
+        for k, a in enumerate(starts):
+            if not k or starts[k - 1] != a - 1:
+                last = k
+                while last + 1 < len(starts) and starts[last + 1] == starts[last] + 1:
+                    last += 1
+                out.append((e[2], e[3], e[4] - starts[last], e[4] - a + length))
+
+
+def whole_window(e: tuple, length: int, out: list) -> None:
+    """The span of an entry that equals an earlier one on both sides: each of its starts also starts earlier."""
+    if len(e[0]) + len(e[1]) >= length:
+        out.append((e[2], e[3], e[4] - len(e[1]), e[4] + len(e[0])))
+
+
+def compacted(out: list[tuple]) -> list[tuple]:
+    """Spans with those of one document that overlap or touch made one."""
+    out.sort()
+    kept: list[tuple] = []
+    for x in out:
+        if kept and x[0] == kept[-1][0] and x[1] == kept[-1][1] and x[2] <= kept[-1][3]:
+            if x[3] > kept[-1][3]:
+                kept[-1] = (*kept[-1][:3], x[3])
+        else:
+            kept.append(x)
+    return kept
 
 
 SPAN = "doc long, row long, start long, stop long"
@@ -278,16 +296,15 @@ def exchange_rows(length: int, splitters: list[bytes]):
     width = length - GRAM + 1
 
     def flush(entries: list[tuple]) -> Iterator[pa.RecordBatch]:
-        entries.sort(key=lambda e: (e[0], e[1], e[2], e[3], e[4]))
+        entries.sort()
         out: list[tuple] = []
         kept: list[tuple] = []
         for e in entries:
             if kept and kept[-1][0] == e[0] and kept[-1][1] == e[1]:
-                # Equal on both sides: each of its starts also starts earlier.
-                if len(e[0]) + len(e[1]) >= length:
-                    starts_to_spans(e[2:4], [(e[4] - len(e[1]), e[4] + len(e[0]) - length)], length, out)
+                whole_window(e, length, out)
             else:
                 kept.append(e)
+        out = compacted(out)
         parts, at = [], 0
         while at < len(kept):
             part = bisect_right(splitters, kept[at][0][:GRAM])
@@ -332,18 +349,25 @@ def exchange_rows(length: int, splitters: list[bytes]):
 
 
 def merge_rows(length: int):
-    def merge(blocks: list[bytes]) -> list[tuple]:
+    def merge(blocks: list[bytes]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
         group: list[tuple] = []
         for prefix, entry in merged([Run(b) for b in blocks]):
             if prefix < GRAM and group:
                 if len(group) > 1:
                     resolve(group, length, out)
+                    if len(out) > SPANS:
+                        yield spans_of(out)
+                        out = []
                 group = []
             group.append(entry)
         if len(group) > 1:
             resolve(group, length, out)
-        return out
+        if out:
+            yield spans_of(out)
+
+    def spans_of(out: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*compacted(out))], ["doc", "row", "start", "stop"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, blocks = None, []
@@ -351,10 +375,8 @@ def merge_rows(length: int):
             rows = [(None, None)] if b is None else zip(b.column(0).to_pylist(), b.column(1).to_pylist())
             for p, block in rows:
                 if p != part and blocks:
-                    out = merge(blocks)
+                    yield from merge(blocks)
                     blocks = []
-                    if out:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["doc", "row", "start", "stop"])
                 part = p
                 if block is not None:
                     blocks.append(block)
@@ -401,16 +423,21 @@ def repeated_spans(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
     free_shuffles(spark)
     release(sampled_rows)
     places = wanted.groupBy(F.col("doc").alias("row")).agg(F.collect_list("place").alias("places"))
-    # Splitters for the exchange: a bounded sample of suffixes of a bounded sample of texts.
-    some = sampled(base.where(F.length("text") > 0), "row", 400).select("text").toPandas()["text"].tolist()
-    grams = sorted({raw[at : at + GRAM] for raw in map(str.encode, some) for at in samples(raw, length)[0].tolist()[:200]})
-    splitters = sorted({grams[len(grams) * i // parts] for i in range(1, parts)}) if grams else []
+    # Splitters for the exchange: the kept suffixes of a bounded sample of texts.
+    some = {r["row"]: r["text"].encode() for r in sampled(base.where(F.length("text") > 0), "row", 300).select("row", "text").collect()}
+    places_of = wanted.where(F.col("doc").isin(list(some))).collect() if some else []
+    grams = sorted({some[r["doc"]][r["place"] : r["place"] + GRAM] for r in places_of})
+    ranges = 2 * parts
+    splitters = sorted({grams[len(grams) * i // ranges] for i in range(1, ranges)}) if grams else []
     rows = base.join(places.hint("shuffle_hash"), "row").select("doc", "row", "text", "places")
     exchanged = written(rows.mapInArrow(exchange_rows(length, splitters), "part int, block binary, doc long, row long, start long, stop long"), "runs")
     free_shuffles(spark)
     release(wanted)
     resolved = exchanged.where("part >= 0").select("part", "block").repartition(parts, "part").sortWithinPartitions("part").mapInArrow(merge_rows(length), SPAN)
-    return resolved.unionByName(exchanged.where("part < 0").select("doc", "row", "start", "stop"))
+    spans = written(resolved.unionByName(exchanged.where("part < 0").select("doc", "row", "start", "stop")), "spans")
+    free_shuffles(spark)
+    release(exchanged)
+    return spans
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -422,8 +449,7 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def remove_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) for each row."""
-    spans = written(repeated_spans(docs, length, id_col, text_col), "spans")
-    free_shuffles(docs.sparkSession)
+    spans = repeated_spans(docs, length, id_col, text_col)
     by_doc = spans.groupBy("doc", "row").agg(F.collect_list(F.struct("start", "stop")).alias("x")).select("doc", "row", F.col("x.start").alias("starts"), F.col("x.stop").alias("stops"))
     rows = keyed(docs, id_col, text_col).join(by_doc.hint("shuffle_hash"), ["doc", "row"], "left").select("doc_id", "text", "starts", "stops")
     return rows.mapInArrow(cut_out, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
