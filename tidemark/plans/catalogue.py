@@ -452,7 +452,7 @@ def log_reclaim(t):
     return recovery.reclaimable(recovery.segments(t.log, 1000), 6001)
 
 
-@query("SELECT count(*) AS n, max(lsn) AS last_lsn FROM log WHERE lsn < (SELECT min(lsn) FROM log WHERE lsn % 4999 = 0)", COMMON)
+@query("SELECT count(*) AS n, max(lsn) AS last_lsn FROM log WHERE lsn < coalesce((SELECT min(lsn) FROM log WHERE lsn % 4999 = 0), 9223372036854775807)", COMMON)
 def log_valid_prefix(t):
     return recovery.valid_prefix(t.log, F.col("lsn") % 4999 == 0).agg(F.count(F.lit(1)).alias("n"), F.max("lsn").alias("last_lsn"))
 
