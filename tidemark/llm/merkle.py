@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -138,6 +139,15 @@ def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows = []
 
 
+def in_ranges(base: DataFrame, cuts: list[float]) -> DataFrame:
+    """Adds ``part``: 0 for the largest ids, an id equal to a cut above it, nulls last. The search among the cuts is binary."""
+    last = len(cuts)
+    if not cuts:
+        return base.withColumn("part", F.lit(0))
+    found = Bucketizer(splits=[-float("inf"), *cuts, float("inf")], inputCol="_place", outputCol="_bucket", handleInvalid="keep").transform(base.withColumn("_place", F.col("doc_id").cast("double")))
+    return found.withColumn("part", F.when(F.col("doc_id").isNull(), last).otherwise(last - F.col("_bucket")).cast("int")).select("part", "doc_id", "text")
+
+
 def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", parts: int | None = None) -> DataFrame:
     """Fingerprint of each document, of its edited text, and the likeness of both and of the next document.
 
@@ -149,25 +159,17 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     cuts = sorted(set(base.approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.1 / parts))) if parts > 1 else []
-    cuts = [int(x) for x in cuts][::-1]
-    # Part 0 holds the largest ids; an id equal to a cut stays above it. Nulls are last.
-    number = F.when(F.col("doc_id").isNull(), F.lit(len(cuts))) if cuts else F.lit(0)
-    if cuts:
-        number = number.otherwise(F.lit(len(cuts)) - F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: F.col("doc_id") >= c)))
-    placed = base.select(number.cast("int").alias("part"), "doc_id", "text")
+    placed = in_ranges(base, sorted({float(x) for x in cuts}))
     # At most one row for each part comes to the driver.
     heads = {r["part"]: r["head"] for r in placed.groupBy("part").agg(F.max("doc_id").alias("head")).collect()}
     if not heads:
         return spark.createDataFrame([], SCHEMA)
     order = sorted(heads)
-    guest_of = {order[(i + 1) % len(order)]: p for i, p in enumerate(order)}
-    same = F.lit(False)
-    target = F.lit(None).cast("int")
-    for p, to in guest_of.items():
-        is_head = (F.col("part") == p) & F.col("doc_id").eqNullSafe(F.lit(heads[p]))
-        same, target = same | is_head, F.when(is_head, F.lit(to)).otherwise(target)
+    guest_of = [(p, heads[p], order[i - 1]) for i, p in enumerate(order)]
+    wanted = spark.createDataFrame(guest_of, "_part int, _head long, _to int")
+    same = (F.col("part") == F.col("_part")) & F.col("doc_id").eqNullSafe(F.col("_head"))
     # Of several heads with one id the first by text is the guest.
-    guests = placed.where(same).select(target.alias("part"), F.lit(True).alias("guest"), "doc_id", "text").groupBy("part", "guest", "doc_id").agg(F.min("text").alias("text"))
+    guests = placed.join(F.broadcast(wanted), same).groupBy(F.col("_to").alias("part"), "doc_id").agg(F.min("text").alias("text")).withColumn("guest", F.lit(True))
     rows = placed.select("part", F.lit(False).alias("guest"), "doc_id", "text").unionByName(guests)
     return (
         rows.repartition(parts, "part")
