@@ -10,7 +10,7 @@ from .mixing import mix, size_of
 from .packing import pack_documents
 from .queries import tokenizer_path
 from .secrets import redact_documents
-from .simhash import near_duplicates
+from .similarity import first_documents
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,9 +20,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id stays. Rows without an id stay: nothing can name them."""
-    groups = near_duplicates(docs)
-    firsts = groups.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
+    """Of documents with a five-word similarity of 0.8 or more the one with the smallest id stays. Rows without an id stay: nothing can name them."""
+    firsts = first_documents(docs).where("doc_id IS NOT NULL").select("doc_id").distinct()
     kept = docs.where("doc_id IS NOT NULL").join(firsts.hint("shuffle_hash"), "doc_id", "left_semi").select(docs.columns)
     twice = docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1")
     if not twice.isEmpty():
