@@ -236,7 +236,7 @@ def resolve(group: list[tuple], length: int, out: list) -> None:
     group.sort(key=lambda e: e[2:])
     first: dict[tuple[bytes, bytes], tuple] = {}
     for e in group:
-        if first.setdefault((e[0], e[1]), e) is not e:
+        if first.setdefault((e[0], e[1]), e)[2:] != e[2:]:  # equal for a row stored twice: nothing starts earlier
             whole_window(e, length, out)
     group = list(first.values())
     if len(group) <= 8:
@@ -301,7 +301,8 @@ def exchange_rows(length: int, splitters: list[bytes]):
         kept: list[tuple] = []
         for e in entries:
             if kept and kept[-1][0] == e[0] and kept[-1][1] == e[1]:
-                whole_window(e, length, out)
+                if kept[-1] != e:  # equal for a row stored twice
+                    whole_window(e, length, out)
             else:
                 kept.append(e)
         out = compacted(out)
