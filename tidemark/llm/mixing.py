@@ -96,14 +96,17 @@ def mix(
     share: float = 1.5,
     seed: int = 17,
     slots: int = 64,
+    carry: bool = False,
 ) -> DataFrame:
-    """(doc_id, size, source_size, target, taken) for each row of ``docs``, as the module says."""
+    """(doc_id, size, source_size, target, taken) for each row of ``docs``, as the module says; with ``carry`` also the row itself as ``_row``."""
+    kept = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")] if carry else []
     seeded = F.xxhash64(F.lit(seed), F.col("doc_id"))
     sized = written(
         docs.select(
             F.col(id_col).alias("doc_id"),
             size_of(F.col(text_col)).alias("size"),
             F.coalesce(F.concat(F.lit("v"), F.col(source_col).cast("string")), F.lit("n")).alias("_s"),
+            *kept,
         ).select("*", seeded.alias("_x"), F.pmod(seeded, F.lit(slots)).alias("_slot")),
         "sizes",
     )
@@ -133,5 +136,5 @@ def mix(
     return (
         sized.join(offsets, ["_s", "size", "_slot"])
         .withColumn("_rank", rank)
-        .select("doc_id", "size", "source_size", "target", (F.col("size") * copies).alias("taken"))
+        .select("doc_id", "size", "source_size", "target", (F.col("size") * copies).alias("taken"), *(["_row"] if carry else []))
     )

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .language import fit_language, identify_language
-from .mixing import mix, size_of
+from .mixing import mix
 from .packing import pack_documents
 from .queries import tokenizer_path
 from .secrets import redact_documents
@@ -36,11 +36,8 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as many times as the mix takes it."""
-    copies = mix(docs).where("taken > 0").select("doc_id", "size", F.expr("taken div size").alias("_copies")).groupBy("doc_id", "size").agg(F.max("_copies").alias("_copies"))
-    sized = docs.withColumn("_size", size_of(F.col("text")))
-    same = F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("size") == F.col("_size"))
-    taken = sized.join(copies.withColumnRenamed("doc_id", "_id").hint("shuffle_hash"), same)
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(docs.columns)
+    rows = mix(docs, carry=True).where("taken > 0").withColumn("_copies", F.expr("taken div size"))
+    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select("_row.*")
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
