@@ -59,3 +59,11 @@ def test_small_table(spark, docs, folder):
     found = stages.near_dedup(spark, docs.where("doc_id IS NOT NULL").where(F.length("text") < 5000), folder).collect()
     kept = sorted((r["doc_id"], r["text"]) for r in found if r["text"])
     assert not [(a[0], b[0]) for i, a in enumerate(kept) for b in kept[i + 1 :] if share(a[1], b[1]) >= 0.8]
+
+
+def test_rows_without_an_id_or_sharing_one(spark, folder):
+    text = " ".join(f"word{i}" for i in range(60))
+    rows = [(None, text), (None, text), (7, text), (7, "quite another text under the same id"), (3, "quite another text under the same id"), (None, "alone here without any id"), (None, "alone here without any id")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept = sorted(((r["doc_id"], r["text"]) for r in stages.near_dedup(spark, df, folder).collect()), key=str)
+    assert kept == [(3, rows[4][1]), (7, text), (None, rows[5][1])]

@@ -20,13 +20,13 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents with a five-word similarity of 0.8 or more the one with the smallest id stays. Rows without an id stay: nothing can name them."""
-    firsts = first_documents(docs).where("doc_id IS NOT NULL").select("doc_id").distinct()
-    kept = docs.where("doc_id IS NOT NULL").join(firsts.hint("shuffle_hash"), "doc_id", "left_semi").select(docs.columns)
-    twice = docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1")
-    if not twice.isEmpty():
-        kept = kept.dropDuplicates(["doc_id", "text"])
-    return kept.unionByName(docs.where("doc_id IS NULL"))
+    """Of rows with a five-word similarity of 0.8 or more the one with the smallest id stays, nulls last and then by a hash of the text; of equal rows one."""
+    firsts = first_documents(docs).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_first"))
+    hashed = docs.withColumn("_hash", F.xxhash64("text"))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_first"))
+    kept = hashed.join(firsts.hint("shuffle_hash"), same, "left_semi").select(docs.columns)
+    twice = hashed.groupBy("doc_id", "_hash").count().where("count > 1")
+    return kept if twice.isEmpty() else kept.dropDuplicates(["doc_id", "text"])
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
