@@ -14,8 +14,11 @@ from .similarity import first_documents
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language (null text or no letter) go; a missing label is filled with the prediction."""
-    found = identify_language(docs, fit_language(docs))
+    """Documents without a language (null text or no letter) go; a missing label is filled with the prediction, if any label is there to learn from."""
+    network = fit_language(docs)
+    if network is None:
+        return docs.where(F.col("text").rlike("\\p{L}"))
+    found = identify_language(docs, network)
     return found.where("_lang <> 'und'").withColumn("lang", F.coalesce("lang", "_lang")).select(docs.columns)
 
 
