@@ -43,9 +43,9 @@ def test_no_near_copy_stays(spark, folder):
 
 
 def test_large_group_and_hot_key(spark, folder, monkeypatch):
-    """A large group of near copies, and keys on which most are not similar, so that the last round compares pairs."""
+    """A large group of near copies, and stars of all fingerprints in which most are not similar, so that the last round compares pairs."""
     monkeypatch.setattr(similarity, "ROUNDS", 1)
-    monkeypatch.setattr(similarity, "band_keys", lambda least: least[:, : similarity.BANDS] * 0)
+    monkeypatch.setattr(similarity, "near_links", lambda fps, distance: fps.agg(F.min("fp").alias("u")).crossJoin(fps.select(F.col("fp").alias("v"))).where("u <> v"))
     rng = random.Random(5)
     base = [f"w{rng.randrange(10**6)}" for _ in range(80)]
     rows = [(i, " ".join([*base[:40], f"other{i}", *base[41:]])) for i in range(60)]
@@ -55,6 +55,25 @@ def test_large_group_and_hot_key(spark, folder, monkeypatch):
     assert sorted(r["doc_id"] for r in stages.near_dedup(spark, df, folder).collect()) == [0, 100, 101, 102, 103, 104]
 
 
+def test_pairs_at_the_threshold_share_a_star():
+    """Texts whose similarity is just 0.8: the distance in the nearest of the fingerprints."""
+    rng = random.Random(8)
+    lost = total = 0
+    for _ in range(300):
+        n = rng.randrange(60, 400)
+        base = [f"w{rng.randrange(3000)}" for _ in range(n)]
+        copy = list(base)
+        for at in rng.sample(range(n), max(1, n // 46)):
+            copy[at] = f"w{rng.randrange(3000)}"
+        a, b = " ".join(base), " ".join(copy)
+        if share(a, b) < 0.8:
+            continue
+        x, y = (similarity.seeded_fingerprints(similarity.word_hashes(t)) for t in (a, b))
+        total += 1
+        lost += min((p ^ q).bit_count() for p, q in zip(x, y)) > similarity.DISTANCE
+    assert total > 150 and lost <= total // 100
+
+
 def test_small_table(spark, docs, folder):
     found = stages.near_dedup(spark, docs.where("doc_id IS NOT NULL").where(F.length("text") < 5000), folder).collect()
     kept = sorted((r["doc_id"], r["text"]) for r in found if r["text"])

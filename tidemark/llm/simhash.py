@@ -46,6 +46,11 @@ def fingerprint(text: str, shingle: int = 3, seed: int = 42) -> int:
     if len(words) < shingle:
         return hashed(b" ".join(words), seed)
     values = np.fromiter((hashed(b" ".join(x), seed) for x in zip(*(words[i:] for i in range(shingle)))), np.uint64, len(words) - shingle + 1)
+    return majority(values)
+
+
+def majority(values: np.ndarray) -> int:
+    """The bits set in more than half of the values; none of none."""
     counts = np.zeros(64, np.int64)
     for at in range(0, len(values), 1 << 14):
         counts += np.unpackbits(values[at : at + (1 << 14)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
@@ -98,7 +103,7 @@ def allocate(cost: list[list[float]], distance: int) -> tuple[float, list[int]]:
 
 def plan(sample: np.ndarray, n_all: int, distance: int) -> list[tuple[np.uint64, list[int], int]]:
     """(mask, bits, threshold) of the partitions used."""
-    probe_price, most_probes = 4.0, 4096
+    probe_price, most_probes = 500.0, 4096  # an entry is shuffled and sorted, a candidate only compared
     found = None
     pairs = sample[: 1 << 10]
     differ = pairs[:, None] ^ pairs[None, :]
@@ -183,9 +188,20 @@ class Forest:
         if i != j:
             self.up[max(i, j)] = min(i, j)
 
+    def roots(self, members: list[int]) -> np.ndarray:
+        return np.fromiter(map(self.find, members), np.int64, len(members))
+
 
 def link(fp: np.ndarray, own: np.ndarray, distance: int, forest: Forest, at: np.ndarray, mask: int = 0, block: int = 1024) -> None:
-    """Join all pairs ``at`` within the distance of which one is an index entry; large sets are split by the other bits first."""
+    """Join all pairs ``at`` within the distance of which one is an index entry; large sets are split by the other bits first.
+
+    Pairs already joined over others aren't joined again, so a dense set costs its comparisons only.
+    """
+    members = at[np.argsort(~own[at], kind="stable")]
+    names = members.tolist()
+    known = forest.roots(names)
+    if (known == known[0]).all():
+        return
     free = 64 - int(mask).bit_count()
     if len(at) > 4 * block and free > distance:
         for group in other_groups(mask, distance + 1):
@@ -196,15 +212,22 @@ def link(fp: np.ndarray, own: np.ndarray, distance: int, forest: Forest, at: np.
                 if len(part) > 1:
                     link(fp, own, distance, forest, part, mask | int(group), block)
         return
-    members = at[np.argsort(~own[at], kind="stable")]
     values, n_own = fp[members], int(own[members].sum())
     for start in range(0, n_own, block):
         rows = values[start : min(start + block, n_own)]
         for lower in range(start, len(values), block):
             i, j = np.nonzero(np.bitwise_count(rows[:, None] ^ values[None, lower : lower + block]) <= distance)
-            near = j + lower > i + start
-            for a, c in zip((i[near] + start).tolist(), (j[near] + lower).tolist()):
-                forest.join(int(members[a]), int(members[c]))
+            i, j = i + start, j + lower
+            while True:
+                apart = (j > i) & (known[i] != known[j])
+                i, j = i[apart], j[apart]
+                for a, c in zip(i[:block].tolist(), j[:block].tolist()):
+                    forest.join(names[a], names[c])
+                if len(i) <= block:
+                    break
+                i, j, known = i[block:], j[block:], forest.roots(names)
+                if (known == known[0]).all():
+                    return
 
 
 def verify(distance: int):
