@@ -19,6 +19,8 @@ from .common import SPACE_RUN, SPACES, let, written
 
 #: Symbols counted by the base rules.
 SYMBOLS = "#*$%&|<>"
+#: Tasks over which the documents of one frequent line are dealt.
+SALTS = 16
 
 
 def words_of(text: Column) -> Column:
@@ -100,11 +102,12 @@ def quality_rules(
         .groupBy("_h", "h")
         .agg(F.count(F.lit(1)).alias("n"), F.min("_first").alias("_owner"))
         .where(F.col("n") > max_docs_per_line)
+        .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     )
     removed = (
         unique.select("_h", "_key", F.explode("lines").alias("x"))
-        .select("_h", "_key", F.col("x.h").alias("h"), F.col("x.n").alias("words"))
-        .join(frequent, ["_h", "h"])
+        .select("_h", "_key", F.col("x.h").alias("h"), F.col("x.n").alias("words"), F.pmod(F.crc32("_key"), F.lit(SALTS)).cast("int").alias("_salt"))
+        .join(frequent, ["_h", "h", "_salt"])
         .where(F.col("_owner.k") != F.col("_key"))
         .groupBy("_h", "_key")
         .agg(F.sum("words").alias("_removed"))
