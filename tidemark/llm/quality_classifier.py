@@ -158,7 +158,7 @@ def classify_quality(docs: DataFrame, labels: DataFrame, label_col: str = "quali
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     table = written(base.mapInArrow(extract, "doc_id long, x array<float>"), "statistics")
     known = labelled(labels, label_col).where(crc_bucket("doc_id", folds) != held_out)
-    rows = table.join(sampled(known, "doc_id", sample), "doc_id").select("x", "y").toPandas()
+    rows = table.join(sampled(known, "doc_id", sample), "doc_id").groupBy("doc_id").agg(F.min("x").alias("x"), F.max("y").alias("y")).toPandas()  # one row for each of the sampled ids
     x = np.array(rows["x"].tolist(), np.float32).reshape(-1, len(FEATURES))
     trees = fit(x, (rows["y"].to_numpy(float) >= 0.5).astype(float))
     fold = F.coalesce(crc_bucket("doc_id", folds) == held_out, F.lit(False)).alias("held_out")

@@ -8,7 +8,8 @@ function of its windows' worst, summed and mean probabilities, so that a chance
 
 Only documents carry labels, so training alternates: score the windows of toxic documents, take the
 worst as positive, and the worst of the others as hard negatives. Everything is trained in numpy on
-at most ``SAMPLE`` labelled documents of each label outside the held-out fold.
+at most ``SAMPLE`` labelled documents of each label outside the held-out fold, none longer than
+``FIT_BYTES`` (which bounds what the driver receives; scoring reads whole texts).
 
 Null or empty text: no window, the score of lowest values. Without both labels the score is their
 rate (0 without labels). Equal texts get equal scores.
@@ -29,6 +30,7 @@ from .common import crc_bucket, sampled, small_batches, texts
 from .quality_classifier import labelled
 
 SAMPLE = 1_500
+FIT_BYTES = 1 << 15
 WINDOW, STRIDE = 16, 8
 WIDTH, HIDDEN = 16, 8
 WORDS, GRAMS = 1 << 12, 1 << 13
@@ -380,13 +382,14 @@ def predictor(net: Network, threshold: float):
     return run
 
 
-def classify_toxicity(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", folds: int = 4, held_out: int = 2, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> DataFrame:
+def classify_toxicity(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", folds: int = 4, held_out: int = 2, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, fit_bytes: int = FIT_BYTES) -> DataFrame:
     """(doc_id, held_out, score, predicted) for each row."""
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     known = labelled(labels, label_col).where(crc_bucket("doc_id", folds) != held_out).withColumn("y", (F.col("y") >= 0.5).cast("int"))
     chosen = sampled(known.where("y = 1"), "doc_id", sample).unionByName(sampled(known.where("y = 0"), "doc_id", sample))
-    # At most 4 * sample rows; their texts go to the driver in one bounded sample.
-    rows = base.join(F.broadcast(chosen), "doc_id").toPandas().sort_values("doc_id")
+    # At most 4 * sample ids, one row for each, so the driver gets at most so many texts of fit_bytes.
+    short = base.where(F.coalesce(F.octet_length("text"), F.lit(0)) <= fit_bytes)
+    rows = short.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("y").alias("y")).toPandas().sort_values("doc_id")
     net = fit([t or "" for t in rows["text"]], rows["y"].to_numpy(int))
     fold = F.coalesce(crc_bucket("doc_id", folds) == held_out, F.lit(False)).alias("held_out")
     return base.select("doc_id", fold, "text").mapInArrow(predictor(net, threshold), "doc_id long, held_out boolean, score double, predicted int")
