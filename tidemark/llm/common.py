@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import gc
 import tempfile
 import uuid
@@ -22,26 +23,43 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; only where the session names none, a local one."""
+    """The folder that all executors share. Where the session names none, a local session gets a local one and a cluster an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
         context = spark.sparkContext._jsc.sc()
+        if context.getCheckpointDir().isEmpty() and not context.isLocal():
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         if context.getCheckpointDir().isEmpty():
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark-"))
         found = context.getCheckpointDir().get()
     return found.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+_scopes: list[list[DataFrame]] = []
+
+
+@contextlib.contextmanager
+def scratch():
+    """Tables made by ``written`` inside are deleted at the end: for results that are written themselves before."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        release(*_scopes.pop())
+
+
+def written(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """Cut the lineage: ``df`` as a Parquet table in the shared folder, read again.
 
-    Unlike a cached block the table outlives the executors that wrote it.
+    Unlike a cached block the table outlives the executors that wrote it. ``keep``: beyond the ``scratch`` around it.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tidemark/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._tidemark_path = path
+    if _scopes and not keep:
+        _scopes[-1].append(out)
     return out
 
 
@@ -55,6 +73,19 @@ def release(*tables: DataFrame) -> None:
             where.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, or one made of it, that is no column of ``df`` in either case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def whole_row(df: DataFrame) -> Column:
+    """All columns as one struct, so that none of their names can clash."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns])
+
+
 def free_shuffles(spark: SparkSession) -> None:
     """Let Spark's cleaner drop the shuffle files of plans that are done."""
     gc.collect()

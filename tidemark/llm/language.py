@@ -21,11 +21,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import crc_bucket, sampled, small_batches, texts
 
 WINDOW = 128
 SAMPLE = 3_000
+#: Longer texts aren't used for fitting, which bounds what the driver receives to 2 * SAMPLE times so many bytes.
+FIT_BYTES = 1 << 15
 WIDTHS = (2, 3, 4)
 FILTERS = 8
 EMBED = 8
@@ -130,9 +133,9 @@ def train(flat: np.ndarray, y: np.ndarray, languages: list[str], epochs: int = 6
     return Network(languages, params[0], params[1 : 1 + n_widths], params[1 + n_widths : 1 + 2 * n_widths], params[-2], params[-1])
 
 
-def fit_language(docs: DataFrame, folds: int = 3, held_out: int = 1, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, per_text: int = 6, seed: int = 3) -> Network | None:
-    """The network fitted on ``per_text`` seeded windows of each sampled text."""
-    known = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (crc_bucket("doc_id", folds) != held_out))
+def fit_language(docs: DataFrame, folds: int = 3, held_out: int = 1, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, per_text: int = 6, fit_bytes: int = FIT_BYTES, seed: int = 3) -> Network | None:
+    """The network fitted on ``per_text`` seeded windows of each sampled text of at most ``fit_bytes`` bytes."""
+    known = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).where(F.col("lang").isNotNull() & (F.octet_length("text") <= fit_bytes) & (crc_bucket("doc_id", folds) != held_out))
     rows = sampled(known, "doc_id", sample).toPandas().sort_values("doc_id")
     rows = rows[rows["text"].str.len() > 0]
     if not len(rows):
@@ -163,18 +166,17 @@ def predict(batch: list[str], network: Network | None, score) -> tuple[list[str]
     return names, scores
 
 
-def identify_language(docs: DataFrame, network: Network | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with ``_lang`` and ``_lang_score`` added; all other columns stay as they are."""
+def identify_language(docs: DataFrame, network: Network | None, text_col: str = "text", name: str = "_lang") -> DataFrame:
+    """``docs`` with the language in column ``name`` and its score in ``<name>_score``; all other columns stay as they are."""
     at = text_col
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = network.scorer() if network else None
         for b in small_batches(batches, at):
             names, scores = predict(texts(b, at), network, score)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*b.schema.names, "_lang", "_lang_score"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*b.schema.names, name, f"{name}_score"])
 
-    fields = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes)
-    return docs.mapInArrow(run, f"{fields}, _lang string, _lang_score double")
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.StringType()), T.StructField(f"{name}_score", T.DoubleType())]))
 
 
 def classify_language(docs: DataFrame, folds: int = 3, held_out: int = 1, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
