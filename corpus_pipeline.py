@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import stages
-from tidemark.llm.common import documents, written
+from tidemark.llm.common import documents, release, scratch, written
 
 #: (name, function of (spark, docs, sf_dir)); each stage's output is written and read again as the next one's documents.
 STAGES = [
@@ -23,5 +23,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        before = docs
+        with scratch():  # a stage's own tables go once its rows are written
+            docs = written(stage(spark, before, sf_dir), f"stage-{name}", keep=True)
+        release(before)
     return docs
