@@ -17,6 +17,7 @@ shingle; texts without words are one class.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -164,8 +165,8 @@ def first_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         left = after
         free_shuffles(spark)
     stay = classes.select("node", "row")
-    for g in gone:
-        stay = stay.join(g, "node", "left_anti")
+    if gone:
+        stay = stay.join(reduce(DataFrame.unionByName, gone), "node", "left_anti")
     kept = written(stay.select("row.doc_id", "row.text_hash"), "firsts")
     release(classes, sets, left, *gone)
     return kept
