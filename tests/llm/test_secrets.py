@@ -6,7 +6,8 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as some
 
-from tidemark.llm.automaton import Automaton, subsets
+from tidemark.llm import automaton
+from tidemark.llm.automaton import Automaton, Walker, anchored, backwards, searching, shortest
 from tidemark.llm.secrets import BASE, RULES, compiled, redact, redact_documents, scan, scan_secrets
 
 ASSIGN = re.compile(r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -19,13 +20,28 @@ def brute(text):
     return sorted(found)
 
 
+#: The rules beyond the base by ``re``, with the least length of a match.
+MORE = (
+    (r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 1),
+    ("-----BEGIN [A-Z ]*PRIVATE KEY-----", 1),
+    ("gh[pousr]_[A-Za-z0-9]+", 40),
+    ("xox[abprs]-[A-Za-z0-9-]+", 15),
+    ("AIza[A-Za-z0-9_-]+", 39),
+)
+
+
+def brute_all(text):
+    more = [(m.start(), k, m.end()) for k, (pattern, least) in enumerate(MORE, 3) for m in re.finditer(pattern, text) if len(m[0]) >= least]
+    return sorted(brute(text) + more)
+
+
 def checked(texts):
     found = scan(texts)
     for i, t in enumerate(texts):
-        assert [s for s in found.get(i, []) if s[1] < len(BASE)] == brute(t), t
+        assert found.get(i, []) == brute_all(t), t
 
 
-PIECES = ["password", "API_KEY", "apikey", "ſecret", "toKen", "secret", "=", " ", ": ", '"', "'", "abc", "0123456789abcdef", "AKIA", "ABCDEFGHIJ0123456789", "\n", "é", "f" * 9, "passwd", "eyJhbGci.eyJh.x-y", "ghp_" + "a" * 36, "-----BEGIN RSA PRIVATE KEY-----"]
+PIECES = ["password", "API_KEY", "apikey", "ſecret", "toKen", "secret", "=", " ", ": ", '"', "'", "abc", "0123456789abcdef", "AKIA", "ABCDEFGHIJ0123456789", "\n", "é", "f" * 9, "passwd", "eyJhbGci.eyJh.x-y", "ghp_" + "a" * 36, "-----BEGIN RSA PRIVATE KEY-----", "eyJ", ".", "-", "xoxb-", "1234567890", "AIza", "gho_", "-----BEGIN ", "PRIVATE KEY-----"]
 
 
 @settings(deadline=None, max_examples=300)
@@ -34,6 +50,36 @@ def test_scan_against_brute_force(texts):
     checked(texts)
 
 
+@pytest.mark.parametrize("lane, lanes", [(3, 5), (16, 2), (64, 40)])
+def test_blocks_and_lanes_do_not_matter(monkeypatch, lane, lanes):
+    """Matches longer than a lane and than a block; lanes that stay in a state over many others."""
+    rng = np.random.default_rng(lane)
+    texts = ["".join(rng.choice(PIECES, 40)) for _ in range(60)] + ["password=" + "a" * 3000 + " f", "f" * 2000, "-----BEGIN " + "A" * 900 + " PRIVATE KEY-----", "eyJ" + "a" * 700 + "." + "b" * 700 + ".c"]
+    want = scan(texts)
+    monkeypatch.setattr(automaton, "LANE", lane)
+    monkeypatch.setattr(automaton, "LANES", lanes)
+    assert scan(texts) == want == {i: x for i, t in enumerate(texts) if (x := brute_all(t))}
+
+
+def test_same_spans_as_re_on_a_table(spark):
+    texts = [r["text"] or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
+    found = scan(texts)
+    assert found and found == {i: x for i, t in enumerate(texts) if (x := brute_all(t))}
+
+
+def test_memory_does_not_follow_the_longest_line():
+    import tracemalloc
+
+    scanner = compiled(RULES)
+    data = (b"some words without a line feed " * 40_000 + b"token=abcdefgh ") * 4
+    scanner.spans(data[:1000])
+    tracemalloc.start()
+    assert len(scanner.spans(data)) == 4
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40 << 20
+
+
 def test_edges():
     checked(["", "\n", "f" * 23, "f" * 24, "AKIA" + "A" * 15, "AKIA" + "A" * 16, "token=12345", "token=123456", "tokentoken = 'abcdef", "password: \"a\"password=abcdefg", "x" * 5000 + "f" * 30, ("password=" + "a" * 9 + "\n") * 50])
 
@@ -54,7 +100,16 @@ def test_automaton_is_minimal_and_exact():
             s = int(found.next[s + found.classes[b]])
             mask |= int(found.accepts[s // found.n_classes])
         assert mask == sum(1 << r for r, x in enumerate(rules) if re.search(x, text))
-    assert len(found.accepts) <= len(subsets(rules[0])[1]) * len(subsets(rules[1])[1])
+        whole, back = Walker(anchored(rules[0])), Walker(backwards(shortest(anchored(rules[0]))))
+        at, bits = found.ends(text.encode())
+        first = re.search(rules[0], text)
+        mine = at[bits & 1 == 1].tolist()
+        assert bool(mine) == bool(first)
+        if first:
+            start = back.leftmost(text.encode(), mine[0], 0)
+            assert (start, whole.longest(text.encode(), start)) == first.span()
+    alone = [len(searching(shortest(anchored(r)))[1]) for r in rules]
+    assert len(found.accepts) <= alone[0] * alone[1]
     assert found.accepts[: found.first_accepting // found.n_classes].max() == 0
 
 
@@ -79,7 +134,7 @@ def test_redaction(odd):
 
 
 def test_states_are_few():
-    assert len(compiled(RULES).accepts) < 2500
+    assert len(compiled(RULES).automaton.accepts) < 2500
 
 
 @pytest.mark.parametrize("bad", ["a)", "(a"])

@@ -122,12 +122,42 @@ class Parser:
         return a, b
 
 
-def subsets(rule: str) -> tuple[np.ndarray, np.ndarray]:
-    """(moves[state, byte], accepts[state]) of the searching automaton of a rule: every byte may begin a match."""
+Dfa = tuple[np.ndarray, np.ndarray]  # (moves[state, byte], accepts[state]); state 0 is the start, moves of -1 lead nowhere
+
+
+def determined(start: frozenset[int], moves, accepting: frozenset[int], again: frozenset[int] = frozenset()) -> Dfa:
+    """Subset construction. ``moves(state)`` lists (byte set, closed target set); ``again`` is added to each set, so that every byte may begin a match."""
+    seen: dict[int, list] = {}
+    todo, found = [start], {start}
+    for here in todo:  # grows: all states that can be met
+        for x in here:
+            if x not in seen:
+                seen[x] = moves(x)
+                fresh = [t for _, t in seen[x] if t not in found]
+                found.update(fresh)
+                todo += fresh
+    sets = sorted({m for row in seen.values() for m, _ in row}, key=sorted)
+    signature = [tuple(b in x for x in sets) for b in range(256)]
+    kinds = {x: i for i, x in enumerate(dict.fromkeys(signature))}
+    classes = np.array([kinds[x] for x in signature])
+    sample = [int(np.flatnonzero(classes == c)[0]) for c in range(len(kinds))]
+    ids, order, table = {start: 0}, [start], []
+    for here in order:  # grows
+        nexts = []
+        for b in sample:
+            into = again.union(*(t for x in here for m, t in seen[x] if b in m))
+            if into and into not in ids:
+                ids[into] = len(ids)
+                order.append(into)
+            nexts.append(ids[into] if into else -1)
+        table.append(nexts)
+    return np.array(table)[:, classes], np.array([not accepting.isdisjoint(x) for x in ids], np.int64)
+
+
+def anchored(rule: str) -> Dfa:
+    """The automaton of a rule's matches, from their start on."""
     parser = Parser()
-    start = parser.state()
     first, end = parser.parse(rule)
-    parser.empty[start].append(first)
     closures: dict[int, frozenset[int]] = {}
 
     def closure(s: int) -> frozenset[int]:
@@ -141,23 +171,67 @@ def subsets(rule: str) -> tuple[np.ndarray, np.ndarray]:
             closures[s] = frozenset(x for x in seen if parser.moves[x] or x == end)
         return closures[s]
 
-    sets = sorted({m for moves in parser.moves for m, _ in moves}, key=sorted)
-    signature = [tuple(b in s for s in sets) for b in range(256)]
-    kinds = {x: i for i, x in enumerate(dict.fromkeys(signature))}
-    classes = np.array([kinds[x] for x in signature])
-    sample = [int(np.flatnonzero(classes == c)[0]) for c in range(len(kinds))]
-    begin = closure(start)
-    ids, todo, table = {begin: 0}, [begin], []
-    for here in todo:  # grows
-        nexts = []
-        for b in sample:
-            into = frozenset().union(begin, *(closure(t) for s in here for m, t in parser.moves[s] if b in m))
-            if into not in ids:
-                ids[into] = len(ids)
-                todo.append(into)
-            nexts.append(ids[into])
-        table.append(nexts)
-    return np.array(table)[:, classes], np.array([end in x for x in ids], np.int64)
+    return determined(closure(first), lambda x: [(m, closure(t)) for m, t in parser.moves[x]], frozenset([end]))
+
+
+def edges(dfa: Dfa) -> list[list[tuple[frozenset[int], int]]]:
+    """(byte set, target) of each state."""
+    out = []
+    for row in dfa[0]:
+        out.append([(frozenset(np.flatnonzero(row == t).tolist()), t) for t in np.unique(row[row >= 0]).tolist()])
+    return out
+
+
+def shortest(dfa: Dfa) -> Dfa:
+    """Of matches with one start only the shortest."""
+    moves = dfa[0].copy()
+    moves[dfa[1] != 0] = -1
+    return moves, dfa[1]
+
+
+def searching(dfa: Dfa) -> Dfa:
+    """Accepts where a match ends that began anywhere."""
+    out, start = edges(dfa), frozenset([0])
+    return determined(start, lambda x: [(m, frozenset([t])) for m, t in out[x]], frozenset(np.flatnonzero(dfa[1]).tolist()), start)
+
+
+def backwards(dfa: Dfa) -> Dfa:
+    """Reads matches from their end; accepts at their starts."""
+    into: list[list] = [[] for _ in dfa[1]]
+    for x, row in enumerate(edges(dfa)):
+        for m, t in row:
+            into[t].append((m, frozenset([x])))
+    return determined(frozenset(np.flatnonzero(dfa[1]).tolist()), into.__getitem__, frozenset([0]))
+
+
+class Walker:
+    """One rule's automaton over single bytes, in lists."""
+
+    def __init__(self, dfa: Dfa):
+        self.moves = [row.tolist() for row in dfa[0]]
+        self.accepts = dfa[1].tolist()
+
+    def longest(self, data: bytes, at: int) -> int:
+        """End of the longest match from ``at``, or -1."""
+        state, best = 0, at if self.accepts[0] else -1
+        for i in range(at, len(data)):
+            state = self.moves[state][data[i]]
+            if state < 0:
+                break
+            if self.accepts[state]:
+                best = i + 1
+        return best
+
+    def leftmost(self, data: bytes, end: int, least: int) -> int:
+        """Least start from ``least`` on of what ends at ``end``, or -1; the automaton is one of ``backwards``."""
+        state, best = 0, -1
+        for i in range(end - 1, least - 1, -1):
+            state = self.moves[state][data[i]]
+            if state < 0:
+                break
+            if self.accepts[state]:
+                best = i
+        return best
 
 
 def minimal(moves: np.ndarray, accepts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -193,62 +267,75 @@ def product(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray],
     return np.array(table)[:, of], np.array([a[1][x] | b[1][y] << shift for x, y in todo])
 
 
+LANE, LANES = 256, 4096
+
+
 class Automaton:
-    """``classes[byte]`` is a byte's class; ``next[state + class]`` the next state, where states are multiples of ``n_classes``.
+    """One automaton for where the shortest match of each of some rules ends, wherever it began.
 
+    ``classes[byte]`` is a byte's class; ``next[state + class]`` the next state, where states are multiples of ``n_classes``.
     ``accepts[state / n_classes]`` has bit r where rule r ends; all states from ``first_accepting`` on accept.
     Each rule is made deterministic and minimal, then joined to those before and minimised again, so that
     the subsets of one rule never multiply with those of another.
     """
 
     def __init__(self, rules: list[str]):
-        whole = minimal(*subsets(rules[0]))
+        whole = minimal(*searching(shortest(anchored(rules[0]))))
         for r, rule in enumerate(rules[1:], 1):
-            whole = minimal(*product(whole, minimal(*subsets(rule)), r))
+            whole = minimal(*product(whole, minimal(*searching(shortest(anchored(rule)))), r))
         moves, accepts = whole
         order = np.argsort(accepts != 0, kind="stable")
         place = np.argsort(order)
         _, sample, classes = np.unique(moves, axis=1, return_index=True, return_inverse=True)
-        self.classes = classes.ravel().astype(np.uint8)
+        self.classes = classes.ravel().astype(np.int32)
         self.n_classes = len(sample)
         self.accepts = accepts[order]
         self.next = (place[moves[order][:, sample]] * self.n_classes).astype(np.int32).ravel()
         self.start = int(place[0]) * self.n_classes
         self.first_accepting = int((accepts == 0).sum()) * self.n_classes
 
-    def flagged(self, data: bytes, reset: int = 10) -> np.ndarray:
-        """Numbers of the ``reset``-separated lines of ``data`` in which some rule ends, every byte read once.
-
-        Lines are lanes that step together, longest first; no rule may match the ``reset`` byte.
-        The few longest lines go on one by one once stepping them together doesn't pay.
-        """
-        raw = np.frombuffer(data, np.uint8)
-        cls = self.classes[raw]
-        breaks = np.flatnonzero(raw == reset)
-        starts = np.concatenate(([0], breaks + 1))
-        lengths = np.concatenate((breaks, [len(raw)])) - starts
-        order = np.argsort(-lengths, kind="stable")
-        starts, lengths = starts[order], lengths[order]
-        at_least = np.searchsorted(-lengths, -np.arange(1, (lengths[0] if len(lengths) else 0) + 1), side="right")
-        state = np.full(len(starts), self.start, np.int32)
-        high = np.zeros(len(starts), np.int32)
-        step = 0
-        for step, active in enumerate(at_least):
-            if active < 16:
-                break
-            s = state[:active]
-            s += cls[starts[:active] + step]
-            np.take(self.next, s, out=s, mode="clip")
-            np.maximum(high[:active], s, out=high[:active])
-        else:
-            step = len(at_least)
-        if step < len(at_least):
-            nexts = self.next.tolist()
-            for i in range(at_least[step]):
-                s, top = int(state[i]), int(high[i])
-                for c in cls[starts[i] + step : starts[i] + lengths[i]].tobytes():
-                    s = nexts[s + c]
-                    if s > top:
-                        top = s
-                high[i] = top
-        return np.sort(order[high >= self.first_accepting])
+    def ends(self, data: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """(ends, rule bits) of all matches, ascending; every byte goes through the automaton in blocks of ``LANE * LANES`` bytes."""
+        at, bits, state = [], [], self.start
+        for begin in range(0, len(data), LANE * LANES):
+            block = np.frombuffer(data, np.uint8, min(LANE * LANES, len(data) - begin), begin)
+            states = self._states(block, state)
+            state = int(states[len(block) - 1])
+            hit = np.flatnonzero(states >= self.first_accepting)
+            at.append(hit + begin + 1)
+            bits.append(self.accepts[states[hit] // self.n_classes])
+        return (np.concatenate(at), np.concatenate(bits)) if at else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+    def _states(self, block: np.ndarray, first: int) -> np.ndarray:
+        """The state after each byte. Lanes of ``LANE`` bytes step together from the start state; a lane whose
+        predecessor ends elsewhere is stepped again, until it meets the states that it had. This goes on until all lanes fit."""
+        n = -(-len(block) // LANE)
+        codes = np.full(n * LANE, self.classes[10], np.int32)
+        codes[: len(block)] = self.classes[block]
+        codes = np.ascontiguousarray(codes.reshape(n, LANE).T)
+        entry = np.full(n, self.start, np.int32)
+        entry[0] = first
+        found, state = np.empty((LANE, n), np.int32), entry.copy()
+        for t in range(LANE):
+            state += codes[t]
+            np.take(self.next, state, out=state, mode="clip")
+            found[t] = state
+        while len(wrong := np.flatnonzero(found[-1, :-1] != entry[1:]) + 1):
+            if len(wrong) < 16:
+                for i in wrong.tolist():
+                    s = entry[i] = int(found[-1, i - 1])
+                    for t, (c, was) in enumerate(zip(codes[:, i].tolist(), found[:, i].tolist())):
+                        s = int(self.next[s + c])
+                        if s == was:
+                            break
+                        found[t, i] = s
+                continue
+            entry[wrong] = state = found[-1, wrong - 1]
+            for t in range(LANE):
+                state = self.next[state + codes[t, wrong]]
+                apart = state != found[t, wrong]
+                wrong, state = wrong[apart], state[apart]
+                if not len(wrong):
+                    break
+                found[t, wrong] = state
+        return found.T.ravel()[: len(block)]

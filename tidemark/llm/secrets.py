@@ -1,9 +1,13 @@
 """Secret scans with one combined automaton.
 
-All rules, with their least lengths, are compiled into one minimal automaton; one pass over the
-bytes of a batch of texts finds the lines in which some rule ends. Only those lines are resolved to
-spans, by each rule's own leftmost non-overlapping matches. No rule can match a line feed, so lines
-are independent and a very long text is just many lines.
+All rules are compiled to deterministic automata. Joined and minimised, they read the bytes of a batch of texts
+once and tell where a shortest match of some rule ends. From there the rule's own automata walk over the bytes
+of the match only: backwards to its leftmost start, then forwards to its greatest end. The next match of
+the rule begins at that end or later, so spans are leftmost and don't overlap within a kind.
+
+This equals the usual leftmost greedy matching for rules of which a greedy match is the longest and of which a
+later start never ends first, as is so for all of ``RULES``. No rule can match a line feed, which ends each text in a batch.
+Memory follows the batch and a block of the automaton's, not the longest line.
 
 Null or empty text: no spans. Rows are independent: repeated rows get equal results.
 """
@@ -13,26 +17,25 @@ from __future__ import annotations
 import bisect
 import functools
 import hashlib
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .automaton import Automaton
+from .automaton import Automaton, Walker, anchored, backwards, shortest
 from .common import small_batches, texts
 
 
 @dataclass(frozen=True)
 class Rule:
-    """``pattern`` gives the matches, of which those shorter than ``least`` (of ``group``) are dropped; ``search`` is for the automaton: the same with that least length, or a beginning that every match has."""
+    """Matches of ``pattern``; of what follows its longest ``head`` there must be ``least`` characters, else the match is dropped (but not what it covers given back)."""
 
     kind: str
     pattern: str
-    search: str
-    group: int = 0
+    head: str = ""
     least: int = 1
 
 
@@ -45,60 +48,71 @@ VALUE = "[A-Za-z0-9+/_.=-]"
 ASSIGN = "(" + KEYWORDS + ")[\"']?\\x20*[:=]\\x20*[\"']?"
 
 BASE = (
-    Rule("assign", ASSIGN + f"({VALUE}+)", ASSIGN + VALUE + "{6,}", 2, 6),
-    Rule("access", "AKIA[A-Z0-9]+", "AKIA[A-Z0-9]{16,}", 0, 20),
-    Rule("hex", "[0-9a-f]+", "[0-9a-f]{24,}", 0, 24),
+    Rule("assign", ASSIGN + f"{VALUE}+", ASSIGN, 6),
+    Rule("access", "AKIA[A-Z0-9]+", least=20),
+    Rule("hex", "[0-9a-f]{24,}"),
 )
 #: Kinds beyond the base: web tokens, private key headers, hosting and chat tokens, map keys.
 MORE = (
-    Rule("jwt", "eyJ[A-Za-z0-9_-]+\\.[A-Za-z0-9_-]+\\.[A-Za-z0-9_-]+", "eyJ[A-Za-z0-9_-]"),
-    Rule("private_key", "-----BEGIN [A-Z ]*PRIVATE KEY-----", "-----BEGIN "),
-    Rule("github", "gh[pousr]_[A-Za-z0-9]+", "gh[pousr]_", 0, 40),
-    Rule("slack", "xox[abprs]-[A-Za-z0-9-]+", "xox[abprs]-", 0, 15),
-    Rule("google", "AIza[A-Za-z0-9_-]+", "AIza", 0, 39),
+    Rule("jwt", "eyJ[A-Za-z0-9_-]+\\.[A-Za-z0-9_-]+\\.[A-Za-z0-9_-]+"),
+    Rule("private_key", "-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    Rule("github", "gh[pousr]_[A-Za-z0-9]+", least=40),
+    Rule("slack", "xox[abprs]-[A-Za-z0-9-]+", least=15),
+    Rule("google", "AIza[A-Za-z0-9_-]+", least=39),
 )
 RULES = BASE + MORE
 
 
-@functools.cache
-def compiled(rules: tuple[Rule, ...]) -> Automaton:
-    """Made once on the driver; tasks get the finished arrays (a few hundred KB)."""
-    return Automaton([r.search for r in rules])
+class Scanner:
+    """The compiled rules. Made once on the driver; tasks get the finished arrays (under a megabyte)."""
+
+    def __init__(self, rules: tuple[Rule, ...]):
+        self.rules = rules
+        self.automaton = Automaton([r.pattern for r in rules])
+        whole = [anchored(r.pattern) for r in rules]
+        self.forwards = [Walker(d) for d in whole]
+        self.backwards = [Walker(backwards(shortest(d))) for d in whole]
+        self.heads = [Walker(anchored(r.head)) if r.head else None for r in rules]
+
+    def spans(self, data: bytes) -> list[tuple[int, int, int]]:
+        """(start, kind number, end) in bytes, sorted."""
+        at, bits = self.automaton.ends(data)
+        out = []
+        for k, rule in enumerate(self.rules):
+            ends = at[bits >> k & 1 == 1].tolist()
+            begin = i = 0
+            while i < len(ends):
+                start = self.backwards[k].leftmost(data, ends[i], begin)
+                if start < 0:
+                    i += 1
+                    continue
+                begin = self.forwards[k].longest(data, start)
+                value = self.heads[k].longest(data, start) if self.heads[k] else start
+                if begin - value >= rule.least:
+                    out.append((start, k, begin))
+                i = bisect.bisect_right(ends, begin, i + 1)
+        return sorted(out)
 
 
-def spans_of(line: str, rules: tuple[Rule, ...]) -> list[tuple[int, int, int]]:
-    """(start, kind number, end) in a line."""
-    return [(m.start(), k, m.end()) for k, rule in enumerate(rules) for m in re.finditer(rule.pattern, line) if m.end(rule.group) - m.start(rule.group) >= rule.least]
+@functools.cache
+def compiled(rules: tuple[Rule, ...]) -> Scanner:
+    return Scanner(rules)
 
 
-def scan(batch: list[str], automaton: Automaton | None = None, rules: tuple[Rule, ...] = RULES) -> dict[int, list[tuple[int, int, int]]]:
+def scan(batch: list[str], scanner: Scanner | None = None) -> dict[int, list[tuple[int, int, int]]]:
     """Spans by text number for the texts that have any; offsets in code points, sorted by start, then kind as listed."""
-    automaton = automaton or compiled(rules)
+    scanner = scanner or compiled(RULES)
+    raw = [t.encode() for t in batch]
+    data = b"\n".join(raw)
+    first = np.concatenate(([0], np.cumsum([len(x) + 1 for x in raw])))[:-1].tolist()
     found: dict[int, list[tuple[int, int, int]]] = {}
-    hits = automaton.flagged("\n".join(batch).encode()).tolist()
-    if not hits:
-        return found
-    at, n = 0, 0
-    first = []
-    for text in batch:
-        first.append(n)
-        n += text.count("\n") + 1
-    split: dict[int, tuple[list[str], list[int]]] = {}
-    for hit in hits:
-        at = bisect.bisect_right(first, hit) - 1
-        if at not in split:
-            lines, starts, total = batch[at].split("\n"), [], 0
-            for x in lines:
-                starts.append(total)
-                total += len(x) + 1
-            split = {at: (lines, starts)}
-        lines, starts = split[at]
-        i = hit - first[at]
-        more = [(s + starts[i], k, e + starts[i]) for s, k, e in spans_of(lines[i], rules)]
-        if more:
-            found.setdefault(at, []).extend(more)
-    for spans in found.values():
-        spans.sort()
+    for start, k, end in scanner.spans(data):
+        i = bisect.bisect_right(first, start) - 1
+        found.setdefault(i, []).append((start - first[i], k, end - first[i]))
+    for i, spans in found.items():
+        if len(raw[i]) != len(batch[i]):  # matches are ASCII; only what lies before them shifts
+            points = np.cumsum(np.frombuffer(raw[i], np.uint8) & 0xC0 != 0x80)
+            found[i] = [(int(points[s]) - 1, k, int(points[s]) - 1 + e - s) for s, k, e in spans]
     return found
 
 
@@ -109,10 +123,10 @@ def joined(spans: list[tuple[int, int, int]], rules: tuple[Rule, ...], most: int
 SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
 
 
-def digester(automaton: Automaton):
+def digester(scanner: Scanner):
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small_batches(batches):
-            found, rows = scan(texts(b), automaton), []
+            found, rows = scan(texts(b), scanner), []
             for i in range(b.num_rows):
                 spans = found.get(i, [])
                 counts = [sum(k == j for _, k, _ in spans) for j in range(len(BASE))]
@@ -146,12 +160,12 @@ def redact(text: str, spans: list[tuple[int, int, int]], rules: tuple[Rule, ...]
 
 def redact_documents(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with every secret in ``text_col`` replaced by its kind; a null text stays null, the other columns stay as they are."""
-    at, automaton = docs.columns.index(text_col), compiled(RULES)
+    at, scanner = docs.columns.index(text_col), compiled(RULES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small_batches(batches, text_col):
             values = b.column(at).to_pylist()
-            for i, spans in scan([x or "" for x in values], automaton).items():
+            for i, spans in scan([x or "" for x in values], scanner).items():
                 values[i] = redact(values[i], spans)
             columns = list(b.columns)
             columns[at] = pa.array(values, b.schema.field(at).type)
