@@ -138,6 +138,55 @@ def test_removal_of_shuffled_passages(spark, monkeypatch):
     assert removed(df) == brute_removal(ordered(df), 100)
 
 
+def shared_line_texts(n):
+    """Documents that share a line of 130 bytes between neighbours of their own, some of which repeat too."""
+    rng = random.Random(12)
+    line = "this line stands in very many documents, word for word, with other words before and after it, so its contexts are all different"
+    sides = ["".join(rng.choice("abcdefg ") for _ in range(rng.randrange(0, 120))) for _ in range(n // 2)]
+    return [rng.choice(sides) + line[: rng.choice([60, 105, 130])] + rng.choice(sides) + rng.choice(["", line]) for _ in range(n)]
+
+
+@pytest.mark.parametrize("hot, group", [(10**9, 10), (10**9, 50_000), (5, 50_000)])
+def test_removal_around_a_frequent_line(spark, monkeypatch, hot, group):
+    """Large groups at once, in steps, and with their strings dealt by hashes."""
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    monkeypatch.setattr(suffix_dedup, "GROUP", group)
+    monkeypatch.setattr(suffix_dedup, "PICK", 1)
+    monkeypatch.setattr(suffix_dedup, "RUN", 300)
+    texts = shared_line_texts(150)
+    df = spark.createDataFrame([(i if i % 10 else None, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    assert removed(df) == brute_removal(ordered(df), 100)
+
+
+def test_groups_by_common_prefixes():
+    """Entries of one group in any number, some near the ends of their texts, against comparing all pairs."""
+    rng = random.Random(3)
+    gram, length = b"g" * suffix_dedup.GRAM, 60
+    for n in (2, 5, 9, 30, 80):
+        rights = [gram + bytes(rng.choice(b"ab") for _ in range(rng.randrange(0, length - len(gram) + 1))) for _ in range(6)]
+        lefts = [bytes(rng.choice(b"xy") for _ in range(rng.randrange(0, length - len(gram) + 1))) for _ in range(6)]
+        group = sorted((rng.choice(rights), rng.choice(lefts), i % 7, i // 7, 100) for i in range(n))
+        prefixes = [0] + [suffix_dedup.common(a[0], b[0]) for a, b in zip(group, group[1:])]
+        out = []
+        keep = suffix_dedup.resolve(group, prefixes, length, out)
+        got, want = set(), set()
+        for order, doc, start, stop in out:
+            got |= {(order, doc, i) for i in range(start, stop)}
+        firsts = set()
+        for a in range(length - len(gram) + 1):
+            strings = {}
+            for i, e in enumerate(group):
+                if len(e[1]) >= a and len(e[0]) >= length - a:
+                    strings.setdefault((e[1][:a], e[0][: length - a]), []).append((e[2:], i))
+            for held in strings.values():
+                firsts.add(min(held)[1])
+                for (order, doc, place), _ in sorted(held)[1:]:
+                    want |= {(order, doc, i) for i in range(place - a, place - a + length)}
+        assert got == want and firsts <= set(keep)
+        kept, between = suffix_dedup.kept_of(group, prefixes, keep)
+        assert between[1:] == [suffix_dedup.common(a[0], b[0]) for a, b in zip(kept, kept[1:])]
+
+
 def test_merge_of_front_coded_runs():
     rng = random.Random(5)
     keys = [bytes(rng.choice(b"ab") for _ in range(rng.randrange(1, 12))) for _ in range(300)]

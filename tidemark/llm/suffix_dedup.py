@@ -10,9 +10,13 @@ hold a sampled suffix at the same place, and comparing what lies around equal sa
 2. Tasks cut the kept suffixes (``length`` bytes to the right, the rest of the window to the left),
    sort them into runs, resolve contexts that are wholly equal within the run, front-code the rest
    (common prefix with the suffix before, and the tail) and exchange them by splitters.
-3. Each range merges its runs with a loser tree that compares by known common prefixes and looks at
-   bytes only beyond them. Neighbours that share a gram form a group, resolved for each start in the window.
-4. The spans meet their texts again and are cut out.
+3. Each range (``RANGE`` entries or so, so their number follows the data) merges its runs with a loser tree that compares
+   by known common prefixes and looks at bytes only beyond them. The common prefixes of neighbours in merged order, and those in the
+   order of what lies to the left, decide which entries hold one string; the oldest keeps it. A large group is
+   resolved in steps, between which only entries that a later one can need are held.
+4. A gram in more than ``HOT`` entries isn't left to one task: each run keeps the oldest place of every string around
+   it, and these meet by a 128-bit hash of the string, one row for each run at most.
+5. The spans meet their texts again and are cut out.
 
 Order of documents: id (nulls last), then a hash of the row. Rows equal in id and text count as one
 document. Null text counts as empty. Texts shorter than ``length`` keep everything. Very long texts
@@ -22,20 +26,31 @@ are sampled in slices that overlap by a window.
 from __future__ import annotations
 
 import hashlib
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_shuffles, release, sampled, small_batches, texts, written
+from .common import free_shuffles, release, small_batches, texts, written
 
 GRAM = 32
 SLICE = 1 << 20
 RUN = 200_000
 SPANS = 200_000
+#: Entries of a range, and of a group held before what no later entry needs is dropped.
+RANGE = 200_000
+GROUP = 50_000
+#: A gram expected in more entries than this isn't sorted into a range: its strings are dealt by their own hashes.
+HOT = 200_000
+#: One sample in so many carries its gram; so many are used at most to choose the ranges.
+PICK = 64
+PICKED = 40_000
+#: What a row of the exchange is, where it isn't a run of a range.
+SPAN_HERE, HOT_STRING = -1, -2
 LAST = (1 << 63) - 1
 
 
@@ -98,7 +113,11 @@ def sample_rows(length: int):
             _, first, back, counts = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
             # 0: alone in this batch. 1: speaks for a gram that the batch repeats. 2: another of those.
             kind = np.where(counts[back] == 1, 0, np.where(np.arange(len(h)) == first[back], 1, 2))
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(keys), pa.array(place.astype(np.int64)), pa.array(kind.astype(np.int32))], ["h", "doc", "place", "kind"])
+            drawn = keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + at.astype(np.uint64) * np.uint64(0xBF58476D1CE4E5B9)
+            whole = b"".join(raw)
+            grams = [whole[i : i + GRAM] if d else None for i, d in zip(at.tolist(), ((drawn >> np.uint64(33)) % np.uint64(PICK) == 0).tolist())]
+            columns = [pa.array(h.view(np.int64)), pa.array(keys), pa.array(place.astype(np.int64)), pa.array(kind.astype(np.int32)), pa.array(grams, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["h", "doc", "place", "kind", "gram"])
 
     return run
 
@@ -231,43 +250,68 @@ def merged(runs: list[Run]) -> Iterator[tuple[int, tuple]]:
             node >>= 1
 
 
-def resolve(group: list[tuple], length: int, out: list) -> None:
-    """Spans (order, doc, start, stop) of a group of entries with one gram: strings in an entry's window that an earlier entry holds too."""
-    group.sort(key=lambda e: e[2:])
-    first: dict[tuple[bytes, bytes], tuple] = {}
-    for e in group:
-        if first.setdefault((e[0], e[1]), e)[2:] != e[2:]:  # equal for a row stored twice: nothing starts earlier
-            whole_window(e, length, out)
-    group = list(first.values())
-    if len(group) <= 8:
-        for j in range(1, len(group)):
-            right, left, order, doc, place = group[j]
-            for i in range(j):
-                r, lo = common(group[i][0], right), common(group[i][1], left)
-                if r + lo >= length:
-                    out.append((order, doc, place - lo, place + min(r, length)))
-        return
-    # Texts of the windows; a start lies ``a`` bytes before the gram. One pass for each start, linear in the group.
+def resolve(group: list[tuple], prefixes: list[int], length: int, out: list) -> list[int]:
+    """Spans (order, doc, start, stop) of a group of entries in merged order, ``prefixes`` being the common prefix of each with the one before.
+
+    A string that starts ``a`` bytes before the gram is one run of common prefixes of ``length - a`` or more to the
+    right, met with one run of ``a`` or more in the order of what lies to the left. Of such a class all but the
+    oldest entry lose it. Returns the entries that are oldest in some class: no later entry needs the others.
+    """
+    n = len(group)
+    if n <= 8:
+        first = set(range(n))
+        for j in range(1, n):
+            right = length
+            for i in range(j - 1, -1, -1):
+                right = min(right, prefixes[i + 1])
+                left = common(group[i][1], group[j][1])
+                if right + left >= length and group[i][2:] != group[j][2:]:
+                    young = i if group[i][2:] > group[j][2:] else j
+                    _, _, order, doc, place = group[young]
+                    out.append((order, doc, place - left, place + right))
+        return sorted(first)
+    by_age = sorted(range(n), key=lambda i: group[i][2:])
+    same = np.zeros(n, np.int64)  # rows stored twice are one
+    for k in range(1, n):
+        same[k] = same[k - 1] + (group[by_age[k]][2:] != group[by_age[k - 1]][2:])
+    age = np.empty(n, np.int64)
+    age[by_age] = same
+    to_right = np.array(prefixes, np.int64)
+    to_right[0] = 0
+    by_left = sorted(range(n), key=lambda i: group[i][1])
+    to_left = np.array([0] + [common(group[x][1], group[y][1]) for x, y in zip(by_left, by_left[1:])], np.int64)
+    place_left = np.empty(n, np.int64)
+    place_left[by_left] = np.arange(n)
+    n_right, n_left = (np.array([len(e[k]) for e in group], np.int64) for k in (0, 1))
+    # Classes change where ``a`` passes one of these; in between they stay the same.
     width = length - GRAM + 1
-    windows = [(e[1][::-1] + e[0], len(e[1])) for e in group]
-    gone: list[list[int]] = [[] for _ in group]
-    for a in range(width):
-        seen: set[bytes] = set()
-        for i, (text, at) in enumerate(windows):
-            if a <= at:
-                value = text[at - a : at - a + length]
-                if len(value) == length:
-                    if value in seen:
-                        gone[i].append(a)
-                    else:
-                        seen.add(value)
-    for e, starts in zip(group, gone):
-        for k, a in enumerate(starts):
-            if not k or starts[k - 1] != a - 1:
-                last = k
-                while last + 1 < len(starts) and starts[last + 1] == starts[last] + 1:
-                    last += 1
-                out.append((e[2], e[3], e[4] - starts[last], e[4] - a + length))
+    cuts = np.unique(np.concatenate(([0], length - to_right, to_left + 1, length - n_right, n_left + 1)))
+    cuts = cuts[(cuts >= 0) & (cuts < width)].tolist()
+    oldest = np.zeros(n, bool)
+    for low, high in zip(cuts, [*(c - 1 for c in cuts[1:]), width - 1]):
+        whole = np.flatnonzero((n_right >= length - low) & (n_left >= low))
+        if not len(whole):
+            continue
+        rights = np.cumsum(to_right < length - low)
+        lefts = np.cumsum(to_left < low)[place_left]
+        key = rights[whole] * n + lefts[whole]
+        order = np.lexsort((age[whole], key))
+        new = np.concatenate(([True], key[order][1:] != key[order][:-1]))
+        lead = age[whole][order][new][np.cumsum(new) - 1]
+        oldest[whole[order[new]]] = True
+        for i in whole[order[age[whole][order] != lead]].tolist():
+            e = group[i]
+            out.append((e[2], e[3], e[4] - high, e[4] - low + length))
+    return np.flatnonzero(oldest).tolist()
+
+
+def kept_of(group: list[tuple], prefixes: list[int], keep: list[int]) -> tuple[list[tuple], list[int]]:
+    """Some entries of a group with their common prefixes: the least of those passed over."""
+    out, at = [], 0
+    for i in keep:
+        out.append(min(prefixes[at + 1 : i + 1], default=0))
+        at = i
+    return [group[i] for i in keep], out
 
 
 def whole_window(e: tuple, length: int, out: list) -> None:
@@ -292,9 +336,23 @@ def compacted(out: list[tuple]) -> list[tuple]:
 SPAN = "doc long, row long, start long, stop long"
 
 
-def exchange_rows(length: int, splitters: list[bytes]):
+def exchange_rows(length: int, splitters: list[bytes], hot: frozenset[bytes]):
     width = length - GRAM + 1
 
+    def strings(entries: list[tuple], out: list) -> dict[bytes, tuple]:
+        """The oldest place of each string of ``length`` bytes around hot grams; the others are spans at once."""
+        first: dict[bytes, tuple] = {}
+        for right, left, order, doc, place in entries:
+            window, before = left[::-1] + right, len(left)
+            for at in range(len(window) - length + 1):
+                key, here = xxhash.xxh3_128_digest(window[at : at + length]), (order, doc, place - before + at)
+                was = first.setdefault(key, here)
+                if was != here:
+                    old, young = sorted((was, here))
+                    first[key] = old
+                    out.append((*young, young[2] + length))
+        return first
+
     def flush(entries: list[tuple]) -> Iterator[pa.RecordBatch]:
         entries.sort()
         out: list[tuple] = []
@@ -305,33 +363,21 @@ def exchange_rows(length: int, splitters: list[bytes]):
                     whole_window(e, length, out)
             else:
                 kept.append(e)
-        out = compacted(out)
+        found = strings([e for e in kept if e[0][:GRAM] in hot], out) if hot else {}
+        if hot:
+            kept = [e for e in kept if e[0][:GRAM] not in hot]
         parts, at = [], 0
         while at < len(kept):
             part = bisect_right(splitters, kept[at][0][:GRAM])
-            end = at + 1
-            if part < len(splitters):
-                lo, hi = at, len(kept)
-                while lo < hi:
-                    mid = (lo + hi) // 2
-                    if kept[mid][0][:GRAM] < splitters[part]:
-                        lo = mid + 1
-                    else:
-                        hi = mid
-                end = max(end, lo)
-            else:
-                end = len(kept)
+            end = bisect_left(kept, splitters[part], at, key=lambda e: e[0][:GRAM]) if part < len(splitters) else len(kept)
             parts.append((part, segment(kept[at:end])))
             at = end
-        columns = list(zip(*out)) or [()] * 4
-        n, m = len(parts), len(out)
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array([p for p, _ in parts] + [-1] * m, pa.int32()), pa.array([x for _, x in parts] + [None] * m, pa.binary()),
-                *(pa.array([None] * n + list(c), pa.int64()) for c in columns),
-            ],
-            ["part", "block", "doc", "row", "start", "stop"],
-        )
+        out = compacted(out)
+        rows = [(p, x, None, None, None, None) for p, x in parts]
+        rows += [(HOT_STRING, h, *place, None) for h, place in found.items()]
+        rows += [(SPAN_HERE, None, *x) for x in out]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), [pa.int32(), pa.binary()] + [pa.int64()] * 4)], ["part", "block", "doc", "row", "start", "stop"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         entries: list[tuple] = []
@@ -340,9 +386,9 @@ def exchange_rows(length: int, splitters: list[bytes]):
                 raw = text.encode()
                 for at in set(places):
                     entries.append((raw[at : at + length], raw[max(0, at - width + 1) : at][::-1], order, row, at))
-                if len(entries) >= RUN:
-                    yield from flush(entries)
-                    entries = []
+                    if len(entries) >= RUN:
+                        yield from flush(entries)
+                        entries = []
         if entries:
             yield from flush(entries)
 
@@ -350,20 +396,36 @@ def exchange_rows(length: int, splitters: list[bytes]):
 
 
 def merge_rows(length: int):
+    most_held, most_spans = GROUP, SPANS
+
     def merge(blocks: list[bytes]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
         group: list[tuple] = []
+        prefixes: list[int] = []
+        limit, passed = most_held, length  # ``passed``: least common prefix since the last entry held
+
+        def done() -> Iterator[pa.RecordBatch]:
+            if len(out) > most_spans:
+                yield spans_of(out)
+                out.clear()
+
         for prefix, entry in merged([Run(b) for b in blocks]):
             if prefix < GRAM and group:
                 if len(group) > 1:
-                    resolve(group, length, out)
-                    if len(out) > SPANS:
-                        yield spans_of(out)
-                        out = []
-                group = []
+                    resolve(group, prefixes, length, out)
+                    yield from done()
+                group, prefixes, limit, passed = [], [], most_held, length
             group.append(entry)
+            prefixes.append(min(prefix, passed))
+            passed = length
+            if len(group) >= limit:
+                keep = resolve(group, prefixes, length, out)
+                passed = min(prefixes[keep[-1] + 1 if keep else 0 :], default=length)
+                group, prefixes = kept_of(group, prefixes, keep)
+                limit = max(most_held, 2 * len(group))
+                yield from done()
         if len(group) > 1:
-            resolve(group, length, out)
+            resolve(group, prefixes, length, out)
         if out:
             yield spans_of(out)
 
@@ -418,29 +480,47 @@ def repeated_spans(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     base = keyed(docs, id_col, text_col)
-    sampled_rows = written(base.select("row", "text").mapInArrow(sample_rows(length), "h long, doc long, place long, kind int"), "samples")
-    alone = sampled_rows.where("kind < 2").repartition(parts, "h").sortWithinPartitions("h", F.desc("kind")).mapInArrow(repeated, "doc long, place long")
+    sampled_rows = written(base.select("row", "text").mapInArrow(sample_rows(length), "h long, doc long, place long, kind int, gram binary"), "samples")
+    alone = sampled_rows.where("kind < 2").select("h", "doc", "place", "kind").repartition(parts, "h").sortWithinPartitions("h", F.desc("kind")).mapInArrow(repeated, "doc long, place long")
     wanted = written(alone.unionByName(sampled_rows.where("kind > 0").select("doc", "place")), "suffixes")
     free_shuffles(spark)
+    # Some kept grams, at most about ``PICKED``, tell the ranges, and which grams are too frequent for one of them.
+    total = wanted.count()
+    thin = F.pmod(F.xxhash64("place", "doc"), F.lit(max(1, total // (PICK * PICKED)))) == 0
+    picked = sampled_rows.where(F.col("gram").isNotNull()).where(thin).select("doc", "place", "gram")
+    grams = sorted(bytes(r["gram"]) for r in picked.join(wanted, ["doc", "place"], "left_semi").select("gram").collect())
     release(sampled_rows)
+    splitters, hot = ranges_of(grams, total, parts)
     places = wanted.groupBy(F.col("doc").alias("row")).agg(F.collect_list("place").alias("places"))
-    # Splitters for the exchange: the kept suffixes of a bounded sample of texts.
-    some = {r["row"]: r["text"].encode() for r in sampled(base.where(F.length("text") > 0), "row", 300).select("row", "text").collect()}
-    places_of = wanted.where(F.col("doc").isin(list(some))).collect() if some else []
-    grams = sorted({some[r["doc"]][r["place"] : r["place"] + GRAM] for r in places_of})
-    ranges = 2 * parts
-    splitters = sorted({grams[len(grams) * i // ranges] for i in range(1, ranges)}) if grams else []
     rows = base.join(places.hint("shuffle_hash"), "row").select("doc", "row", "text", "places")
-    exchanged = written(rows.mapInArrow(exchange_rows(length, splitters), "part int, block binary, doc long, row long, start long, stop long"), "runs")
+    exchanged = written(rows.mapInArrow(exchange_rows(length, splitters, hot), "part int, block binary, doc long, row long, start long, stop long"), "runs")
     free_shuffles(spark)
     release(wanted)
-    resolved = exchanged.where("part >= 0").select("part", "block").repartition(parts, "part").sortWithinPartitions("part").mapInArrow(merge_rows(length), SPAN)
-    spans = written(resolved.unionByName(exchanged.where("part < 0").select("doc", "row", "start", "stop")), "spans")
+    tasks = max(parts, (len(splitters) + 1) // 2)
+    merged_spans = exchanged.where("part >= 0").select("part", "block").repartition(tasks, "part").sortWithinPartitions("part").mapInArrow(merge_rows(length), SPAN)
+    found = merged_spans.unionByName(exchanged.where(F.col("part") == SPAN_HERE).select("doc", "row", "start", "stop"))
+    if hot:
+        string = exchanged.where(F.col("part") == HOT_STRING).select("block", "doc", "row", "start")
+        oldest = string.groupBy("block").agg(F.min(F.struct("doc", "row", "start")).alias("first"))
+        later = string.join(oldest, "block").where(F.struct("doc", "row", "start") != F.col("first"))
+        found = found.unionByName(later.select("doc", "row", "start", (F.col("start") + length).alias("stop")))
+    spans = written(found, "spans")
     free_shuffles(spark)
     release(exchanged)
     return spans
 
 
+def ranges_of(grams: list[bytes], total: int, parts: int) -> tuple[list[bytes], frozenset[bytes]]:
+    """(splitters, hot grams) from a sorted sample of the grams of ``total`` entries: ranges of about ``RANGE`` entries, two for each task at least."""
+    counts: dict[bytes, int] = {}
+    for g in grams:
+        counts[g] = counts.get(g, 0) + 1
+    hot = frozenset(g for g, n in counts.items() if n > 2 and n * total > HOT * len(grams))
+    cold = [g for g in grams if g not in hot]
+    ranges = max(2 * parts, -(-total // RANGE))
+    return sorted({cold[len(cold) * i // ranges] for i in range(1, ranges)}) if cold else [], hot
+
+
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(doc_id, doc, row, text): ``doc`` orders documents, ``row`` tells rows with one id apart."""
     text = F.coalesce(F.col(text_col), F.lit(""))
