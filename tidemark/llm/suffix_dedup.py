@@ -31,6 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -258,12 +259,14 @@ def resolve(group: list[tuple], prefixes: list[int], length: int, out: list) ->
     oldest entry lose it. Returns the entries that are oldest in some class: no later entry needs the others.
     """
     n = len(group)
-    if n <= 8:
+    if n <= 24:
         first = set(range(n))
         for j in range(1, n):
             right = length
             for i in range(j - 1, -1, -1):
                 right = min(right, prefixes[i + 1])
+                if right + len(group[j][1]) < length:
+                    break
                 left = common(group[i][1], group[j][1])
                 if right + left >= length and group[i][2:] != group[j][2:]:
                     young = i if group[i][2:] > group[j][2:] else j
@@ -336,8 +339,9 @@ def compacted(out: list[tuple]) -> list[tuple]:
 SPAN = "doc long, row long, start long, stop long"
 
 
-def exchange_rows(length: int, splitters: list[bytes], hot: frozenset[bytes]):
-    width = length - GRAM + 1
+def exchange_rows(length: int, splitters: list[bytes], hot: frozenset[bytes], tasks: int):
+    """Rows for ``merge_rows``: runs of ranges, ranges in order over ``tasks``, and spans and strings that are merely passed on."""
+    width, ranges = length - GRAM + 1, len(splitters) + 1
 
     def strings(entries: list[tuple], out: list) -> dict[bytes, tuple]:
         """The oldest place of each string of ``length`` bytes around hot grams; the others are spans at once."""
@@ -373,11 +377,12 @@ def exchange_rows(length: int, splitters: list[bytes], hot: frozenset[bytes]):
             parts.append((part, segment(kept[at:end])))
             at = end
         out = compacted(out)
-        rows = [(p, x, None, None, None, None) for p, x in parts]
-        rows += [(HOT_STRING, h, *place, None) for h, place in found.items()]
-        rows += [(SPAN_HERE, None, *x) for x in out]
+        rows = [(p * tasks // ranges, p, x, None, None, None, None) for p, x in parts]
+        rows += [(place[1] % tasks, HOT_STRING, h, *place, None) for h, place in found.items()]
+        rows += [(x[1] % tasks, SPAN_HERE, None, *x) for x in out]
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), [pa.int32(), pa.binary()] + [pa.int64()] * 4)], ["part", "block", "doc", "row", "start", "stop"])
+            kinds = [pa.int32(), pa.int32(), pa.binary()] + [pa.int64()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["task", "part", "block", "doc", "row", "start", "stop"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         entries: list[tuple] = []
@@ -430,11 +435,18 @@ def merge_rows(length: int):
             yield spans_of(out)
 
     def spans_of(out: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*compacted(out))], ["doc", "row", "start", "stop"])
+        columns = [pa.array(c, pa.int64()) for c in zip(*compacted(out))]
+        return pa.RecordBatch.from_arrays([pa.nulls(len(columns[0]), pa.binary()), *columns], ["block", "doc", "row", "start", "stop"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows sorted by part, those that only pass first."""
         part, blocks = None, []
         for b in then_none(batches):
+            if b is not None:
+                passing = pc.less(b.column(0), 0)
+                if pc.any(passing).as_py():
+                    yield pa.RecordBatch.from_arrays(b.filter(passing).columns[1:], ["block", "doc", "row", "start", "stop"])
+                b = b.filter(pc.invert(passing))
             rows = [(None, None)] if b is None else zip(b.column(0).to_pylist(), b.column(1).to_pylist())
             for p, block in rows:
                 if p != part and blocks:
@@ -493,20 +505,18 @@ def repeated_spans(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
     splitters, hot = ranges_of(grams, total, parts)
     places = wanted.groupBy(F.col("doc").alias("row")).agg(F.collect_list("place").alias("places"))
     rows = base.join(places.hint("shuffle_hash"), "row").select("doc", "row", "text", "places")
-    exchanged = written(rows.mapInArrow(exchange_rows(length, splitters, hot), "part int, block binary, doc long, row long, start long, stop long"), "runs")
+    tasks = max(parts, (len(splitters) + 1) // 2)
+    runs = rows.mapInArrow(exchange_rows(length, splitters, hot, tasks), "task int, part int, block binary, doc long, row long, start long, stop long")
+    dealt = runs.repartitionById(tasks, "task").drop("task").sortWithinPartitions("part")
+    found = written(dealt.mapInArrow(merge_rows(length), f"block binary, {SPAN}"), "spans")
     free_shuffles(spark)
     release(wanted)
-    tasks = max(parts, (len(splitters) + 1) // 2)
-    merged_spans = exchanged.where("part >= 0").select("part", "block").repartition(tasks, "part").sortWithinPartitions("part").mapInArrow(merge_rows(length), SPAN)
-    found = merged_spans.unionByName(exchanged.where(F.col("part") == SPAN_HERE).select("doc", "row", "start", "stop"))
+    spans = found.where("stop IS NOT NULL").select("doc", "row", "start", "stop")
     if hot:
-        string = exchanged.where(F.col("part") == HOT_STRING).select("block", "doc", "row", "start")
+        string = found.where("stop IS NULL").select("block", "doc", "row", "start")
         oldest = string.groupBy("block").agg(F.min(F.struct("doc", "row", "start")).alias("first"))
         later = string.join(oldest, "block").where(F.struct("doc", "row", "start") != F.col("first"))
-        found = found.unionByName(later.select("doc", "row", "start", (F.col("start") + length).alias("stop")))
-    spans = written(found, "spans")
-    free_shuffles(spark)
-    release(exchanged)
+        spans = spans.unionByName(later.select("doc", "row", "start", (F.col("start") + length).alias("stop")))
     return spans
 
 
