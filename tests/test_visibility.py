@@ -2,8 +2,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import types as kinds
-from tidemark.functions.visibility import Snapshot, visible_at
-from tidemark.operators import dml, history
+from tidemark.functions.visibility import Snapshot, visible_among, visible_at
+from tidemark.operators import dml, history, running
 from tidemark.operators.running import following, running_sum
 from tidemark.operators.scan import Bound, scan
 from tidemark.operators.structure import routed
@@ -60,13 +60,43 @@ def test_following_over_pieces(spark):
 
 def test_running_sum_and_routing(spark):
     df = spark.createDataFrame([(f"u{i:03d}", i) for i in range(40)], "u string, n long")
-    got = {r["u"]: r["running"] for r in running_sum(df, F.col("n"), F.substring("u", 1, 3), [F.col("u")]).collect()}
+    got = {r["u"]: r["running"] for r in running_sum(df, F.col("n"), ["u"]).collect()}
     assert got == {f"u{i:03d}": i * (i + 1) // 2 for i in range(40)}
     seps = spark.createDataFrame([("u005",), ("u020",), ("u0205",)], "s string")
-    child = {r["u"]: r["child"] for r in routed(df.select("u"), "u", seps, "s", F.substring("u", 1, 3)).collect()}
+    child = {r["u"]: r["child"] for r in routed(df.select("u"), "u", seps, "s").collect()}
     assert child == {f"u{i:03d}": (i >= 5) + (i >= 20) + (i >= 21) for i in range(40)}
 
 
+def test_running_sum_of_a_hot_key_and_nulls(spark, monkeypatch):
+    """One key holds most rows and all keys begin alike, yet ranges hold few rows each."""
+    monkeypatch.setattr(running, "SMALL", 20)
+    rows = [(None if i % 50 == 0 else "https://www.example.org/" + ("hot" if i % 3 else f"{i:04d}"), i) for i in range(600)]
+    df = spark.createDataFrame(rows, "u string, n long").repartition(3)
+    total, want = 0, {}
+    for u, n in sorted(rows, key=lambda r: (r[0] is not None, r[0] or "", r[1])):
+        total += n
+        want[n] = total
+    assert {r["n"]: r["running"] for r in running_sum(df, F.col("n"), ["u", "n"]).collect()} == want
+    sizes = [r["count"] for r in running.bucketed(df, ["u", "n"], "b").groupBy("b").count().collect()]
+    assert len(sizes) > 10 and max(sizes) < 120
+    seps = spark.createDataFrame([(None,), ("https://www.example.org/0300",), ("https://www.example.org/hot",), ("z",)], "s string")
+    child = {(r["u"], r["n"]): r["child"] for r in routed(df, "u", seps, "s").collect()}
+    assert child == {(u, n): 1 + sum(x <= (u or "") for x in ("https://www.example.org/0300", "https://www.example.org/hot")) for u, n in rows}
+
+
+def test_versions_with_carried_statuses(spark):
+    """The joinless forms equal those over a status table."""
+    ops = spark.createDataFrame([(i + 1, i // 4 + 1, i * 7 % 5, "D" if i % 6 == 5 else "P", float(i)) for i in range(120)], "lsn long, txn_id long, k long, op string, v double")
+    clog, columns = history.statuses(ops), ["k", "v", "lsn", "xmin", "xmax"]
+    for last_lsn in (None, 120):
+        marked = history.settled_versions(history.with_status(ops, 30), last_lsn, span=16)
+        plain = history.versions(ops, clog, span=16)
+        assert sorted(map(tuple, marked.select(columns).collect())) == sorted(map(tuple, plain.collect()))
+        for bound, me in ((9, None), (17, 19), (None, None)):
+            want = visible_at(plain, history.not_committed(clog), bound, me)
+            assert sorted(map(tuple, visible_among(marked, bound, me).select(columns).collect())) == sorted(map(tuple, want.collect()))
+
+
 def test_bounds(spark):
     df = spark.createDataFrame([(i,) for i in range(8)] + [(None,)], "k long")
     values = range(8)

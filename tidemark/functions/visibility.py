@@ -59,6 +59,17 @@ def with_status(versions: DataFrame, bad: DataFrame) -> DataFrame:
     return versions.join(creators, "xmin", "left").join(deleters, "xmax", "left").fillna(False, ["_creator_bad", "_deleter_bad"])
 
 
+def visible_among(marked: DataFrame, bound: int | None, me: int | None = None) -> DataFrame:
+    """As ``visible_at`` over versions that carry ``creator`` and ``deleter`` statuses: a filter, no join."""
+    early = (lambda c: F.lit(True)) if bound is None else (lambda c: c < bound)
+    creator = early(F.col("xmin")) & (F.col("creator") == COMMITTED)
+    deleter = (F.col("xmax") != 0) & early(F.col("xmax")) & F.col("deleter").eqNullSafe(COMMITTED)
+    seen = creator & ~deleter
+    if me is not None:
+        seen = F.when(F.col("xmax") == me, False).when(F.col("xmin") == me, True).otherwise(seen)
+    return marked.where(seen)
+
+
 def visible_at(versions: DataFrame, bad: DataFrame, bound: int | None, me: int | None = None) -> DataFrame:
     """Versions visible to a snapshot below which every id is settled: ``bad`` ids didn't commit. No ``bound``: the latest state. ``me``: a transaction's own view."""
     early = (lambda c: F.lit(True)) if bound is None else (lambda c: c < bound)
@@ -68,5 +79,5 @@ def visible_at(versions: DataFrame, bad: DataFrame, bound: int | None, me: int |
     if me is not None:
         seen = F.when(F.col("xmax") == me, False).when(F.col("xmin") == me, True).otherwise(seen)
     elif bound is not None:
-        versions = versions.where(F.col("xmin") < bound)  # reaches the scan
+        versions = versions.where(F.col("xmin") < bound)  # before the joins
     return with_status(versions, bad).where(seen).select(versions.columns)

@@ -11,8 +11,10 @@ from .running import following
 SPAN = 4_000_000
 
 
-def operations(events: DataFrame) -> DataFrame:
-    """(lsn, txn_id, k, op, v): the events as puts and deletes, four to a transaction."""
+def operations(events: DataFrame, before: int | None = None) -> DataFrame:
+    """(lsn, txn_id, k, op, v): the events as puts and deletes, four to a transaction; those of transactions below ``before`` by a filter that reaches the scan."""
+    if before is not None:
+        events = events.where(F.col("event_id") < 4 * (before - 1))
     return events.select(
         (F.col("event_id") + 1).alias("lsn"),
         (F.expr("event_id div 4") + 1).alias("txn_id"),
@@ -38,6 +40,20 @@ def versions(ops: DataFrame, clog: DataFrame, span: int = SPAN) -> DataFrame:
     return closed.unionByName(open_)
 
 
+def with_status(ops: DataFrame, last: int) -> DataFrame:
+    """``ops`` with the ``status`` of their transactions, by the rule of ``statuses`` for a log whose last id is ``last``; no join."""
+    status = F.when(F.col("txn_id") > last - 5, "V").when(F.col("txn_id") % 7 == 3, "A").otherwise("C")
+    return ops.withColumn("status", status)
+
+
+def settled_versions(ops: DataFrame, last_lsn: int | None = None, span: int = SPAN) -> DataFrame:
+    """``versions`` of operations that carry their ``status``, with ``creator`` and ``deleter`` statuses: one pass, no joins with a status table."""
+    committed = following(ops.where("status = 'C'"), "k", "lsn", "txn_id", span, "_next", last_lsn)
+    closed = committed.where("op = 'P'").select("k", "v", "lsn", F.col("txn_id").alias("xmin"), F.coalesce("_next", F.lit(0)).cast("long").alias("xmax"), F.col("status").alias("creator"), F.when(F.col("_next").isNotNull(), "C").alias("deleter"))
+    open_ = ops.where("status <> 'C' AND op = 'P'").select("k", "v", "lsn", F.col("txn_id").alias("xmin"), F.lit(0).cast("long").alias("xmax"), F.col("status").alias("creator"), F.lit(None).cast("string").alias("deleter"))
+    return closed.unionByName(open_)
+
+
 def not_committed(clog: DataFrame) -> DataFrame:
     return clog.where("status <> 'C'").select("txn_id")
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .history import latest
 
@@ -58,5 +57,6 @@ def segments(log: DataFrame, size: int) -> DataFrame:
 
 
 def reclaimable(parts: DataFrame, redo_point: int) -> DataFrame:
-    """Segments (few rows) whose next segment begins at or below the redo point; never the last."""
-    return parts.withColumn("_next", F.lead("first_lsn").over(Window.orderBy("segment"))).where(F.col("_next") <= redo_point).drop("_next")
+    """Segments whose next segment begins at or below the redo point; never the last. These are all before the last one that begins there."""
+    holder = parts.where(F.col("first_lsn") <= redo_point).agg(F.max("segment").alias("_holder"))  # one row
+    return parts.join(F.broadcast(holder)).where(F.col("segment") < F.col("_holder")).drop("_holder")

@@ -21,10 +21,9 @@ def is_vacuumable(horizon: int | None) -> Column:
     return F.col("creator").eqNullSafe("A") | ended
 
 
-def split_versions(versions: DataFrame, clog: DataFrame, horizon: int | None) -> tuple[DataFrame, DataFrame]:
-    """(removable, surviving)"""
-    marked = with_statuses(versions, clog)
-    return marked.where(is_vacuumable(horizon)).select(versions.columns), marked.where(~is_vacuumable(horizon)).select(versions.columns)
+def split_versions(marked: DataFrame, horizon: int | None) -> tuple[DataFrame, DataFrame]:
+    """(removable, surviving) of versions with their statuses."""
+    return marked.where(is_vacuumable(horizon)), marked.where(~is_vacuumable(horizon))
 
 
 def global_xmin(clog: DataFrame) -> DataFrame:

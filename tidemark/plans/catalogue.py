@@ -1,23 +1,26 @@
 """Every query by name, with the SQL it must equal.
 
-The history is derived from ``events`` and read through snapshots with bound ``S``; ``H`` is the
-vacuum horizon. ``orders`` serves as an ordered map, ``documents`` and ``pages`` as tables of values.
+The history is derived from ``events`` and read through a snapshot at the fraction ``S`` of its transactions; ``H`` is
+the vacuum horizon and ``LATE`` a snapshot shortly before the end. ``orders`` serves as an ordered map, ``documents`` and ``pages`` as tables of values.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import types as kinds
-from ..functions.visibility import Snapshot, visible_at
+from ..functions.visibility import Snapshot, visible_among
 from ..operators import dml, history, recovery, scan, structure, vacuum
 from ..operators.scan import Bound
 
-S, H = 1200, 1000
-LATE = 2440
+#: Points of the history in 25ths of its last transaction id: a snapshot, the vacuum horizon, an older snapshot, the settled part.
+S, H, EARLIER, SETTLED = 12, 10, 11, 20
+#: A snapshot so many transactions before the end.
+LATE = 60
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -26,6 +29,8 @@ COMMON = """
 WITH ops AS (
     SELECT event_id + 1 AS lsn, event_id // 4 + 1 AS txn_id, user_id AS k,
            CASE WHEN event_type = 'error' THEN 'D' ELSE 'P' END AS op, value AS v FROM events
+), points AS (
+    SELECT max(txn_id) AS last, max(txn_id) * {S} // 25 AS s, max(txn_id) * {H} // 25 AS h, max(txn_id) * {EARLIER} // 25 AS earlier, max(txn_id) * {SETTLED} // 25 AS settled, max(txn_id) - {LATE} AS late FROM ops
 ), clog AS (
     SELECT DISTINCT txn_id, CASE WHEN txn_id > (SELECT max(txn_id) FROM ops) - 5 THEN 'V' WHEN txn_id % 7 = 3 THEN 'A' ELSE 'C' END AS status FROM ops
 ), bad AS (
@@ -43,18 +48,18 @@ WITH ops AS (
     SELECT (txn_id - 1) * 5 + 5, txn_id, CASE WHEN status = 'C' THEN 'Commit' ELSE 'Abort' END, NULL, NULL FROM clog WHERE status <> 'V'
 ), visible AS (
     SELECT k, v, lsn, xmin, xmax FROM versions
-    WHERE xmin < {S} AND xmin NOT IN (SELECT txn_id FROM bad) AND (xmax = 0 OR xmax >= {S} OR xmax IN (SELECT txn_id FROM bad))
+    WHERE xmin < (SELECT s FROM points) AND xmin NOT IN (SELECT txn_id FROM bad) AND (xmax = 0 OR xmax >= (SELECT s FROM points) OR xmax IN (SELECT txn_id FROM bad))
 ), late AS (
     SELECT k, v, lsn, xmin, xmax FROM versions
-    WHERE xmin < {LATE} AND xmin NOT IN (SELECT txn_id FROM bad) AND (xmax = 0 OR xmax >= {LATE} OR xmax IN (SELECT txn_id FROM bad))
+    WHERE xmin < (SELECT late FROM points) AND xmin NOT IN (SELECT txn_id FROM bad) AND (xmax = 0 OR xmax >= (SELECT late FROM points) OR xmax IN (SELECT txn_id FROM bad))
 ), intents AS (
-    SELECT c_custkey AS k, c_acctbal AS v FROM customer WHERE c_custkey < 200
+    SELECT c_custkey AS k, c_acctbal AS v FROM customer
 ), marked AS (
     SELECT v.*, a.status AS creator, b.status AS deleter FROM versions v LEFT JOIN clog a ON a.txn_id = v.xmin LEFT JOIN clog b ON b.txn_id = v.xmax
 ), dead AS (
-    SELECT k, v, lsn, xmin, xmax FROM marked WHERE creator = 'A' OR (xmax <> 0 AND coalesce(deleter = 'C', false) AND xmax < {H})
+    SELECT k, v, lsn, xmin, xmax FROM marked WHERE creator = 'A' OR (xmax <> 0 AND coalesce(deleter = 'C', false) AND xmax < (SELECT h FROM points))
 )
-""".replace("{S}", str(S)).replace("{LATE}", str(LATE)).replace("{H}", str(H))
+""".replace("{S}", str(S)).replace("{LATE}", str(LATE)).replace("{H}", str(H)).replace("{EARLIER}", str(EARLIER)).replace("{SETTLED}", str(SETTLED))
 
 FOOTPRINTS = """
 WITH f AS (
@@ -80,32 +85,60 @@ class Tables:
     def map(self) -> DataFrame:
         return self.orders.select(F.col("o_orderkey").alias("k"), F.col("o_totalprice").alias("v"))
 
+    @functools.cached_property
+    def last(self) -> int:
+        """The last transaction id: a maximum over one column, taken once."""
+        return (self.events.agg(F.max("event_id")).first()[0] or 0) // 4 + 1
+
+    def at(self, part: int) -> int:
+        return self.last * part // 25
+
+    @property
+    def s(self) -> int:
+        return self.at(S)
+
+    @property
+    def h(self) -> int:
+        return self.at(H)
+
+    @property
+    def late(self) -> int:
+        return self.last - LATE
+
     @property
     def ops(self) -> DataFrame:
         return history.operations(self.events)
 
     @property
     def clog(self) -> DataFrame:
-        return history.statuses(self.ops)
+        return history.with_status(self.ops.select("txn_id"), self.last).distinct()
 
     @property
-    def bad(self) -> DataFrame:
-        return history.not_committed(self.clog)
+    def marked(self) -> DataFrame:
+        """All versions with the statuses of who made and who ended them."""
+        return history.settled_versions(history.with_status(self.ops, self.last), 4 * self.last)
 
     @property
     def versions(self) -> DataFrame:
-        return history.versions(self.ops, self.clog)
+        return self.marked.select("k", "v", "lsn", "xmin", "xmax")
+
+    def seen(self, bound: int, me: int = 0) -> DataFrame:
+        """(k, v, lsn, xmin) of what a snapshot sees. Later transactions can't change that, so they aren't read; ends after the bound don't show."""
+        ops = history.operations(self.events, max(bound, me + 1))
+        marked = history.settled_versions(history.with_status(ops, self.last), 4 * self.last)
+        return visible_among(marked, bound, me or None).select("k", "v", "lsn", "xmin")
 
     @property
     def log(self) -> DataFrame:
         return history.log_records(self.ops, self.clog)
 
-    def visible(self, bound: int | None = S, me: int | None = None) -> DataFrame:
-        return visible_at(self.versions, self.bad, bound, me)
+    def visible(self, bound: int | None = None) -> DataFrame:
+        """With ends after the bound."""
+        return visible_among(self.marked, bound)
 
     @property
     def intents(self) -> DataFrame:
-        return self.customer.where("c_custkey < 200").select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("v"))
+        return self.customer.select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("v"))
 
     @property
     def footprints(self) -> DataFrame:
@@ -113,7 +146,7 @@ class Tables:
 
     @property
     def packed(self) -> DataFrame:
-        return structure.packed(self.footprints, "url", ["url", "page_id"])
+        return structure.packed(self.footprints, ["url", "page_id"])
 
     @property
     def leaves(self) -> DataFrame:
@@ -187,10 +220,10 @@ def value_storage_class(t):
     return t.documents.groupBy(kinds.storage_class(size).alias("storage_class"), kinds.chain_length(size).alias("chain_length")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT doc_id, CAST(ceil(octet_length(encode(text)) / 4048) AS BIGINT) AS pages_to_free FROM documents WHERE doc_id % 3 = 0 AND octet_length(encode(text)) > 2048")
+@query("SELECT doc_id, CAST(ceil(octet_length(encode(text)) / 4048) AS BIGINT) AS pages_to_free FROM documents WHERE octet_length(encode(text)) > 2048")
 def orphan_chains(t):
     size = F.octet_length("text")
-    return t.documents.where((F.col("doc_id") % 3 == 0) & kinds.is_overflow(size)).select("doc_id", kinds.chain_length(size).alias("pages_to_free"))
+    return t.documents.where(kinds.is_overflow(size)).select("doc_id", kinds.chain_length(size).alias("pages_to_free"))
 
 
 @query("SELECT o_orderkey AS k, md5(CAST(o_orderkey AS VARCHAR) || '|' || o_orderpriority) AS checksum FROM orders")
@@ -203,44 +236,56 @@ def row_checksum(t):
 
 @query("SELECT k, v, lsn FROM visible", COMMON)
 def visible_at_bound(t):
-    return t.visible().select("k", "v", "lsn")
+    return t.seen(t.s).select("k", "v", "lsn")
 
 
 QUERIES["visible_at"], ORACLES["visible_at"] = QUERIES.pop("visible_at_bound"), ORACLES.pop("visible_at_bound")
 
-OWN = f"""SELECT k, v, lsn FROM versions WHERE CASE WHEN xmax = 1203 THEN false WHEN xmin = 1203 THEN true
-ELSE xmin < {S} AND xmin NOT IN (SELECT txn_id FROM bad) AND (xmax = 0 OR xmax >= {S} OR xmax IN (SELECT txn_id FROM bad)) END"""
+OWN = """SELECT k, v, lsn FROM versions, points WHERE CASE WHEN xmax = s + 3 THEN false WHEN xmin = s + 3 THEN true
+ELSE xmin < s AND xmin NOT IN (SELECT txn_id FROM bad) AND (xmax = 0 OR xmax >= s OR xmax IN (SELECT txn_id FROM bad)) END"""
 
 
 @query(OWN, COMMON)
 def visible_own(t):
-    return t.visible(me=1203).select("k", "v", "lsn")
+    return t.seen(t.s, t.s + 3).select("k", "v", "lsn")
 
 
-@query(f"SELECT * FROM ({OWN}) WHERE k = (SELECT min(k) FROM versions WHERE xmin = 1203)", COMMON)
+@query(f"SELECT * FROM ({OWN}) WHERE k = (SELECT min(k) FROM versions, points WHERE xmin = s + 3)", COMMON)
 def point_get_own(t):
-    key = t.versions.where("xmin = 1203").agg(F.min("k").alias("k"))
-    return scan.many(t.visible(me=1203).select("k", "v", "lsn"), "k", key)
+    key = t.seen(t.s, t.s + 3).where(F.col("xmin") == t.s + 3).agg(F.min("k").alias("k"))
+    return scan.many(t.seen(t.s, t.s + 3).select("k", "v", "lsn"), "k", key)
 
 
 @query("SELECT k, v, lsn FROM versions WHERE xmin NOT IN (SELECT txn_id FROM bad) AND (xmax = 0 OR xmax IN (SELECT txn_id FROM bad))", COMMON)
 def visible_latest(t):
-    return t.visible(None).select("k", "v", "lsn")
+    return t.visible().select("k", "v", "lsn")
 
 
 @query("SELECT count(*) AS n FROM visible", COMMON)
 def scan_count(t):
-    return t.visible().agg(F.count(F.lit(1)).alias("n"))
+    return t.seen(t.s).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("SELECT count(*) AS n FROM marked WHERE creator = 'A'", COMMON)
 def aborted_invisible(t):
-    return t.versions.join(t.clog.where("status = 'A'"), F.col("xmin") == F.col("txn_id"), "left_semi").agg(F.count(F.lit(1)).alias("n"))
+    return t.marked.where("creator = 'A'").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT count(*) AS n FROM visible JOIN clog ON xmin = txn_id WHERE status = 'A'", COMMON)
+def aborted_seen(t):
+    """What the rule forbids: versions of aborted transactions that the snapshot sees. Its one row says 0."""
+    return t.seen(t.s).join(t.clog.where("status = 'A'"), F.col("xmin") == F.col("txn_id"), "left_semi").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT k, v, lsn, xmin FROM versions WHERE xmin >= 1100 AND xmin < 1200 AND xmin NOT IN (SELECT txn_id FROM bad)", COMMON)
+@query("""SELECT k, v, lsn, xmin, CASE WHEN xmin >= earlier THEN 'created' ELSE 'ended' END AS change FROM versions, points
+WHERE xmin < s AND xmin NOT IN (SELECT txn_id FROM bad) AND (xmin >= earlier) <> (xmax >= earlier AND xmax < s)""", COMMON)
 def snapshot_diff(t):
-    return t.versions.where("xmin >= 1100 AND xmin < 1200").join(t.bad, F.col("xmin") == F.col("txn_id"), "left_anti").select("k", "v", "lsn", "xmin")
+    """Between an earlier snapshot and ``s``: what only the later one sees, and what only the earlier one sees (removed keys too)."""
+    a, b = t.at(EARLIER), t.s
+    made = F.col("xmin") >= a
+    ended = (F.col("xmax") >= a) & (F.col("xmax") < b)
+    rows = t.marked.where((F.col("xmin") < b) & (F.col("creator") == "C") & (made != ended))
+    return rows.select("k", "v", "lsn", "xmin", F.when(made, "created").otherwise("ended").alias("change"))
 
 
 @query("SELECT k, count(*) AS n, min(lsn) AS first_lsn, max(lsn) AS last_lsn FROM versions GROUP BY k", COMMON)
@@ -250,20 +295,20 @@ def version_runs(t):
 
 @query("SELECT k, count(*) AS n FROM visible GROUP BY k HAVING count(*) > 1", COMMON)
 def single_visible_invariant(t):
-    return t.visible().groupBy("k").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return t.seen(t.s).groupBy("k").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
-@query("""SELECT txn_id, txn_id = 0 OR (txn_id < 1200 AND NOT txn_id BETWEEN 1190 AND 1199 AND status <> 'A') AS committed FROM clog WHERE txn_id BETWEEN 1180 AND 1210""", COMMON)
+@query("""SELECT txn_id, txn_id = 0 OR (txn_id < s AND NOT txn_id BETWEEN s - 10 AND s - 1 AND status <> 'A') AS committed FROM clog, points WHERE txn_id BETWEEN s - 20 AND s + 10""", COMMON)
 def snapshot_committed(t):
-    snap = Snapshot(1190, 1200, frozenset(range(1190, 1200)))
-    rows = t.clog.where("txn_id BETWEEN 1180 AND 1210")
+    snap = Snapshot(t.s - 10, t.s, frozenset(range(t.s - 10, t.s)))
+    rows = t.clog.where(F.col("txn_id").between(t.s - 20, t.s + 10))
     return rows.select("txn_id", (snap.committed(F.col("txn_id")) & (F.col("status") != "A")).alias("committed"))
 
 
-@query("SELECT txn_id, CASE WHEN txn_id = 0 OR status <> 'V' OR txn_id < 2490 THEN false WHEN txn_id >= 2498 THEN true ELSE true END AS in_progress FROM clog WHERE txn_id >= 2480", COMMON)
+@query("SELECT txn_id, txn_id <> 0 AND status = 'V' AND txn_id >= last - 10 AS in_progress FROM clog, points WHERE txn_id >= last - 20", COMMON)
 def snapshot_in_progress(t):
-    snap = Snapshot(2490, 2498, frozenset(range(2490, 2498)))
-    return t.clog.where("txn_id >= 2480").select("txn_id", snap.in_progress(F.col("txn_id"), F.col("status") != "V").alias("in_progress"))
+    snap = Snapshot(t.last - 10, t.last - 2, frozenset(range(t.last - 10, t.last - 2)))
+    return t.clog.where(F.col("txn_id") >= t.last - 20).select("txn_id", snap.in_progress(F.col("txn_id"), F.col("status") != "V").alias("in_progress"))
 
 
 @query("SELECT coalesce(min(CASE WHEN status = 'V' THEN txn_id END), max(txn_id) + 1) AS xmin, max(txn_id) + 1 AS xmax, count(*) FILTER (status = 'V') AS n_active FROM clog", COMMON)
@@ -277,32 +322,32 @@ def snapshot_of_clog(t):
 
 @query("SELECT i.k, i.v FROM intents i WHERE k NOT IN (SELECT k FROM visible)", COMMON)
 def insert_accept(t):
-    return dml.accepted_inserts(t.intents, t.visible())
+    return dml.accepted_inserts(t.intents, t.seen(t.s))
 
 
 @query("SELECT i.k, i.v FROM intents i WHERE k IN (SELECT k FROM visible)", COMMON)
 def insert_duplicate(t):
-    return dml.duplicate_inserts(t.intents, t.visible())
+    return dml.duplicate_inserts(t.intents, t.seen(t.s))
 
 
 @query("SELECT i.k, v.v AS old_value, i.v AS new_value FROM intents i JOIN visible v ON i.k = v.k", COMMON)
 def update_apply(t):
-    return dml.applied_updates(t.intents, t.visible())
+    return dml.applied_updates(t.intents, t.seen(t.s))
 
 
 @query("SELECT i.k, i.v FROM intents i WHERE k NOT IN (SELECT k FROM visible)", COMMON)
 def update_missing(t):
-    return dml.missing_keys(t.intents, t.visible())
+    return dml.missing_keys(t.intents, t.seen(t.s))
 
 
 @query("SELECT i.k, i.v FROM intents i WHERE k IN (SELECT k FROM visible)", COMMON)
 def delete_apply(t):
-    return dml.applied_deletes(t.intents, t.visible())
+    return dml.applied_deletes(t.intents, t.seen(t.s))
 
 
 @query("SELECT i.k, i.v FROM intents i WHERE k NOT IN (SELECT k FROM visible)", COMMON)
 def delete_missing(t):
-    return dml.missing_keys(t.intents, t.visible())
+    return dml.missing_keys(t.intents, t.seen(t.s))
 
 
 @query("""WITH c AS (SELECT count(*) AS c FROM lineitem GROUP BY l_orderkey, l_linenumber)
@@ -313,22 +358,21 @@ def insert_outcomes(t):
 
 @query("SELECT CASE WHEN k IN (SELECT k FROM visible) THEN 'ok' ELSE 'KeyNotFound' END AS outcome, count(*) AS n FROM intents GROUP BY 1", COMMON)
 def update_outcomes(t):
-    found = t.intents.join(t.visible().select("k", F.lit("ok").alias("_ok")), "k", "left")
+    found = t.intents.join(t.seen(t.s).select("k", F.lit("ok").alias("_ok")), "k", "left")
     return found.groupBy(F.coalesce("_ok", F.lit("KeyNotFound")).alias("outcome")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("""SELECT CASE WHEN xmax = 0 THEN 'ok' WHEN status = 'V' THEN 'WaitFor' WHEN status = 'A' THEN 'ok' ELSE 'WriteConflict' END AS verdict, count(*) AS n
 FROM visible LEFT JOIN clog ON xmax = txn_id GROUP BY 1""", COMMON)
 def conflict_write(t):
-    met = t.visible().join(t.clog, F.col("xmax") == F.col("txn_id"), "left")
-    return met.groupBy(dml.write_verdict(F.col("xmax"), F.col("status")).alias("verdict")).agg(F.count(F.lit(1)).alias("n"))
+    return t.visible(t.s).groupBy(dml.write_verdict(F.col("xmax"), F.col("deleter")).alias("verdict")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"""SELECT CASE WHEN status = 'V' THEN 'WaitFor' WHEN status = 'C' THEN 'WriteConflict' ELSE 'ok' END AS verdict, count(*) AS n
-FROM late LEFT JOIN (SELECT k, arg_min(status, lsn) AS status FROM ops JOIN clog USING (txn_id) WHERE txn_id >= {LATE} GROUP BY k) USING (k) GROUP BY 1""", COMMON)
+@query("""SELECT CASE WHEN status = 'V' THEN 'WaitFor' WHEN status = 'C' THEN 'WriteConflict' ELSE 'ok' END AS verdict, count(*) AS n
+FROM late LEFT JOIN (SELECT k, arg_min(status, lsn) AS status FROM ops JOIN clog USING (txn_id) WHERE txn_id >= (SELECT late FROM points) GROUP BY k) USING (k) GROUP BY 1""", COMMON)
 def conflict_write_next(t):
-    later = t.ops.where(F.col("txn_id") >= LATE).join(t.clog, "txn_id").groupBy("k").agg(F.min_by("status", "lsn").alias("status"))
-    met = t.visible(LATE).join(later, "k", "left")
+    later = history.with_status(t.ops.where(F.col("txn_id") >= t.late), t.last).groupBy("k").agg(F.min_by("status", "lsn").alias("status"))
+    met = t.seen(t.late).join(later, "k", "left")
     verdict = F.when(F.col("status") == "V", "WaitFor").when(F.col("status") == "C", "WriteConflict").otherwise("ok")
     return met.groupBy(verdict.alias("verdict")).agg(F.count(F.lit(1)).alias("n"))
 
@@ -336,8 +380,8 @@ def conflict_write_next(t):
 @query("""SELECT CASE WHEN k IN (SELECT k FROM marked WHERE creator = 'V') THEN 'WaitFor' WHEN k IN (SELECT k FROM late) THEN 'DuplicateKey' ELSE 'ok' END AS verdict, count(*) AS n
 FROM intents GROUP BY 1""", COMMON)
 def conflict_insert(t):
-    waits = t.versions.join(t.clog.where("status = 'V'"), F.col("xmin") == F.col("txn_id"), "left_semi").select("k", F.lit(2).alias("p"))
-    met = waits.unionByName(t.visible(LATE).select("k", F.lit(1).alias("p"))).groupBy("k").agg(F.max("p").alias("p"))
+    waits = history.with_status(t.ops.where(F.col("txn_id") > t.last - 5), t.last).where("status = 'V' AND op = 'P'").select("k", F.lit(2).alias("p"))
+    met = waits.unionByName(t.seen(t.late).select("k", F.lit(1).alias("p"))).groupBy("k").agg(F.max("p").alias("p"))
     verdict = F.when(F.col("p") == 2, "WaitFor").when(F.col("p") == 1, "DuplicateKey").otherwise("ok")
     return t.intents.join(met, "k", "left").groupBy(verdict.alias("verdict")).agg(F.count(F.lit(1)).alias("n"))
 
@@ -358,55 +402,57 @@ def global_xmin(t):
     return vacuum.global_xmin(t.clog)
 
 
-@query(f"""SELECT i.txn_id, coalesce(c.status, CASE WHEN i.txn_id < (SELECT min(txn_id) FROM clog WHERE status = 'V') THEN 'C' ELSE 'V' END) AS status
-FROM (SELECT unnest([10, 2498, 9999]) AS txn_id) i LEFT JOIN (SELECT * FROM clog WHERE txn_id >= {H}) c USING (txn_id)""", COMMON)
+@query("""SELECT i.txn_id, coalesce(c.status, CASE WHEN i.txn_id < (SELECT min(txn_id) FROM clog WHERE status = 'V') THEN 'C' ELSE 'V' END) AS status
+FROM (SELECT unnest([10, last - 2, last * 4]) AS txn_id FROM points) i LEFT JOIN (SELECT clog.* FROM clog, points WHERE txn_id >= h) c USING (txn_id)""", COMMON)
 def settled_status(t):
-    ids = t.spark.createDataFrame([(10,), (2498,), (9999,)], "txn_id int")
-    return vacuum.settled_status(ids, t.clog.where(F.col("txn_id") >= H), vacuum.global_xmin(t.clog))
+    ids = t.spark.createDataFrame([(10,), (t.last - 2,), (t.last * 4,)], "txn_id long")
+    return vacuum.settled_status(ids, t.clog.where(F.col("txn_id") >= t.h), vacuum.global_xmin(t.clog))
 
 
 @query("SELECT max(lsn) - min(CASE WHEN status = 'V' THEN lsn END) AS age FROM ops JOIN clog USING (txn_id)", COMMON)
 def oldest_active(t):
-    return t.ops.join(t.clog, "txn_id").agg((F.max("lsn") - F.min(F.when(F.col("status") == "V", F.col("lsn")))).alias("age"))
+    return history.with_status(t.ops, t.last).agg((F.max("lsn") - F.min(F.when(F.col("status") == "V", F.col("lsn")))).alias("age"))
 
 
 @query("SELECT k, lsn, xmin, xmax FROM dead", COMMON)
 def vacuumable(t):
-    return vacuum.split_versions(t.versions, t.clog, H)[0].select("k", "lsn", "xmin", "xmax")
+    return vacuum.split_versions(t.marked, t.h)[0].select("k", "lsn", "xmin", "xmax")
 
 
 @query("SELECT count(*) AS n FROM dead", COMMON)
 def vacuum_count(t):
-    return vacuum.split_versions(t.versions, t.clog, H)[0].agg(F.count(F.lit(1)).alias("n"))
+    return vacuum.split_versions(t.marked, t.h)[0].agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("SELECT k, v, lsn, xmin, xmax FROM versions EXCEPT ALL SELECT k, v, lsn, xmin, xmax FROM dead", COMMON)
 def compacted_versions(t):
-    return vacuum.split_versions(t.versions, t.clog, H)[1]
+    return vacuum.split_versions(t.marked, t.h)[1].select("k", "v", "lsn", "xmin", "xmax")
 
 
 @query("""SELECT batch, count(*) AS scanned, count(*) FILTER (is_dead) AS dead FROM (
 SELECT (row_number() OVER (ORDER BY k, lsn) - 1) // 512 AS batch, lsn IN (SELECT lsn FROM dead) AS is_dead FROM versions) GROUP BY batch""", COMMON)
 def vacuum_batches(t):
-    marked = vacuum.with_statuses(t.versions, t.clog).withColumn("dead", vacuum.is_vacuumable(H))
-    rows = structure.numbered(marked, ["k", "lsn"], F.col("k"))
+    marked = t.marked.select("k", "lsn", vacuum.is_vacuumable(t.h).alias("dead"))
+    rows = structure.numbered(marked, ["k", "lsn"])
     return rows.groupBy(F.expr("(rn - 1) div 512").alias("batch")).agg(F.count(F.lit(1)).alias("scanned"), F.count_if("dead").alias("dead"))
 
 
 @query("SELECT k FROM versions GROUP BY k EXCEPT SELECT k FROM marked WHERE NOT (creator = 'A' OR (xmax <> 0 AND coalesce(deleter = 'C', false)))", COMMON)
 def empty_leaves(t):
-    marked = vacuum.with_statuses(t.versions, t.clog)
-    return marked.groupBy("k").agg(F.min(vacuum.is_vacuumable(None)).alias("_all")).where("_all").select("k")
+    return t.marked.groupBy("k").agg(F.min(vacuum.is_vacuumable(None)).alias("_all")).where("_all").select("k")
 
 
-@query("SELECT k FROM versions GROUP BY k HAVING min(xmax) > 0 AND max(xmax) < 2500", COMMON)
+@query("""SELECT k, max(xmax) AS stamp FROM marked WHERE creator <> 'A' GROUP BY k
+HAVING min(xmax) > 0 AND max(xmax) < (SELECT min(txn_id) FROM clog WHERE status = 'V')""", COMMON)
 def recyclable(t):
-    return t.versions.groupBy("k").agg(F.min("xmax").alias("a"), F.max("xmax").alias("b")).where("a > 0 AND b < 2500").select("k")
+    """Keys of which, aborted versions left aside, every version is ended, stamped with the last end; free once that is below all ids in flight."""
+    found = t.marked.where("creator <> 'A'").groupBy("k").agg(F.min("xmax").alias("_least"), F.max("xmax").alias("stamp"))
+    return found.where((F.col("_least") > 0) & (F.col("stamp") < t.last - 4)).select("k", "stamp")
 
 
 @query("SELECT k FROM (SELECT unnest(range(0, 200)) AS k) WHERE k NOT IN (SELECT k FROM visible)", COMMON)
 def free_ids(t):
-    return t.spark.range(200).select(F.col("id").alias("k")).join(t.visible(), "k", "left_anti")
+    return t.spark.range(200).select(F.col("id").alias("k")).join(t.seen(t.s), "k", "left_anti")
 
 
 @query("SELECT count(*) AS n FROM versions WHERE xmax <> 0", COMMON)
@@ -414,15 +460,15 @@ def dead_version_count(t):
     return t.versions.where("xmax <> 0").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"SELECT txn_id, status FROM clog WHERE status = 'V' OR (status = 'C' AND txn_id >= 2000) OR (status = 'A' AND txn_id >= {H})", COMMON)
+@query("SELECT txn_id, status FROM clog, points WHERE status = 'V' OR (status = 'C' AND txn_id >= settled) OR (status = 'A' AND txn_id >= h)", COMMON)
 def clog_truncate(t):
-    return vacuum.truncated(t.clog, 2000, H)
+    return vacuum.truncated(t.clog, t.at(SETTLED), t.h)
 
 
 @query("""SELECT sweep, count(*) AS n, min(xmax) AS first_xmax, max(xmax) AS last_xmax FROM (
 SELECT xmax, (row_number() OVER (ORDER BY xmax, k, lsn) - 1) // 1000 AS sweep FROM versions WHERE xmax <> 0) GROUP BY sweep""", COMMON)
 def autovacuum_trigger(t):
-    rows = structure.numbered(t.versions.where("xmax <> 0"), ["xmax", "k", "lsn"], F.expr("xmax div 64"))
+    rows = structure.numbered(t.versions.where("xmax <> 0"), ["xmax", "k", "lsn"])
     return rows.groupBy(F.expr("(rn - 1) div 1000").alias("sweep")).agg(F.count(F.lit(1)).alias("n"), F.min("xmax").alias("first_xmax"), F.max("xmax").alias("last_xmax"))
 
 
@@ -447,9 +493,9 @@ def log_segments(t):
     return recovery.segments(t.log, 1000)
 
 
-@query(f"SELECT segment, first_lsn, last_lsn, n FROM (SELECT *, lead(first_lsn) OVER (ORDER BY segment) AS nxt FROM ({SEGMENTS})) WHERE nxt <= 6001", COMMON)
+@query(f"SELECT segment, first_lsn, last_lsn, n FROM (SELECT *, lead(first_lsn) OVER (ORDER BY segment) AS nxt FROM ({SEGMENTS})) WHERE nxt <= (SELECT s * 5 + 1 FROM points)", COMMON)
 def log_reclaim(t):
-    return recovery.reclaimable(recovery.segments(t.log, 1000), 6001)
+    return recovery.reclaimable(recovery.segments(t.log, 1000), t.s * 5 + 1)
 
 
 @query("SELECT count(*) AS n, max(lsn) AS last_lsn FROM log WHERE lsn < coalesce((SELECT min(lsn) FROM log WHERE lsn % 4999 = 0), 9223372036854775807)", COMMON)
@@ -483,19 +529,19 @@ def redo_state(t):
 
 @query(REDO, COMMON)
 def recover_from_checkpoint(t):
-    return recovery.from_checkpoint(t.visible().select("k", "v", ((F.col("xmin") - 1) * 5).alias("lsn")), t.log.where(F.col("txn_id") >= S))
+    return recovery.from_checkpoint(t.seen(t.s).select("k", "v", ((F.col("xmin") - 1) * 5).alias("lsn")), t.log.where(F.col("txn_id") >= t.s))
 
 
-@query(f"SELECT txn_id FROM clog WHERE status = 'A' AND txn_id >= {H}", COMMON)
+@query("SELECT txn_id FROM clog, points WHERE status = 'A' AND txn_id >= h", COMMON)
 def pinned_aborted(t):
-    return t.clog.where((F.col("status") == "A") & (F.col("txn_id") >= H)).select("txn_id")
+    return t.clog.where((F.col("status") == "A") & (F.col("txn_id") >= t.h)).select("txn_id")
 
 
-@query(f"SELECT min(lsn) AS redo_point, {S} AS next_txn_id, (SELECT count(*) FROM clog WHERE status = 'A' AND txn_id >= {H} AND txn_id < {S}) AS n_pinned FROM log WHERE txn_id >= {S}", COMMON)
+@query("SELECT (SELECT min(lsn) FROM log WHERE txn_id >= s) AS redo_point, s AS next_txn_id, (SELECT count(*) FROM clog WHERE status = 'A' AND txn_id >= h AND txn_id < s) AS n_pinned FROM points", COMMON)
 def checkpoint_row(t):
-    pinned = t.clog.where((F.col("status") == "A") & (F.col("txn_id") >= H) & (F.col("txn_id") < S)).agg(F.count(F.lit(1)).alias("n_pinned"))
-    redo = t.log.where(F.col("txn_id") >= S).agg(F.min("lsn").alias("redo_point"))
-    return redo.join(F.broadcast(pinned)).select("redo_point", F.lit(S).alias("next_txn_id"), "n_pinned")
+    pinned = t.clog.where((F.col("status") == "A") & (F.col("txn_id") >= t.h) & (F.col("txn_id") < t.s)).agg(F.count(F.lit(1)).alias("n_pinned"))
+    redo = t.log.where(F.col("txn_id") >= t.s).agg(F.min("lsn").alias("redo_point"))
+    return redo.join(F.broadcast(pinned)).select("redo_point", F.lit(t.s).cast("long").alias("next_txn_id"), "n_pinned")
 
 
 #: First and last record of each transaction; one in flight has no end. A checkpoint every 1000 positions.
@@ -522,7 +568,7 @@ def redo_point(t):
 
 @query(f"SELECT checkpoint, redo_point, coalesce(lag(redo_point) OVER (ORDER BY checkpoint) = redo_point, false) AS stalled FROM ({OPEN_AT})", COMMON)
 def redo_stall(t):
-    return structure.checkpoint_stalls(_redo_points(t))
+    return structure.checkpoint_stalls(_redo_points(t), 1000)
 
 
 # --- Structure
@@ -543,14 +589,16 @@ def separators(t):
     return t.leaves.select("leaf", "first_key")
 
 
-@query("SELECT leaf, used FROM leaves WHERE used * 2 < 4048", FOOTPRINTS)
+@query("""SELECT leaf, used FROM (SELECT leaf, CAST(sum(footprint) FILTER (page_id % 8 < 3) AS BIGINT) AS used FROM packed GROUP BY leaf) WHERE coalesce(used, 0) * 2 < 4048""", FOOTPRINTS)
 def underfull_leaves(t):
-    return t.leaves.where("used * 2 < 4048").select("leaf", "used")
+    """Leaves less than half full after deletes that leave three pages of eight (a packing alone leaves none)."""
+    used = t.packed.groupBy("leaf").agg(F.sum(F.when(F.col("page_id") % 8 < 3, F.col("footprint"))).cast("long").alias("used"))
+    return used.where(F.coalesce("used", F.lit(0)) * 2 < 4048).select("leaf", "used")
 
 
 @query("SELECT page_id, (SELECT count(*) FROM leaves WHERE first_key <= url) AS child FROM pages", FOOTPRINTS)
 def child_route(t):
-    return structure.routed(t.pages.select("page_id", "url"), "url", t.leaves, "first_key", F.substring("url", 1, 12), "child").select("page_id", "child")
+    return structure.routed(t.pages.select("page_id", "url"), "url", t.leaves, "first_key", "child").select("page_id", "child")
 
 
 @query("SELECT o_orderkey % 8 AS shard, count(*) AS n FROM orders GROUP BY 1")
