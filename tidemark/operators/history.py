@@ -46,10 +46,12 @@ def with_status(ops: DataFrame, last: int) -> DataFrame:
     return ops.withColumn("status", status)
 
 
-def settled_versions(ops: DataFrame, last_lsn: int | None = None, span: int = SPAN) -> DataFrame:
-    """``versions`` of operations that carry their ``status``, with ``creator`` and ``deleter`` statuses: one pass, no joins with a status table."""
+def settled_versions(ops: DataFrame, last_lsn: int | None = None, span: int = SPAN, unsettled: bool = True) -> DataFrame:
+    """``versions`` of operations that carry their ``status``, with ``creator`` and ``deleter`` statuses: one pass, no joins with a status table. Without ``unsettled`` only those of committed creators."""
     committed = following(ops.where("status = 'C'"), "k", "lsn", "txn_id", span, "_next", last_lsn)
     closed = committed.where("op = 'P'").select("k", "v", "lsn", F.col("txn_id").alias("xmin"), F.coalesce("_next", F.lit(0)).cast("long").alias("xmax"), F.col("status").alias("creator"), F.when(F.col("_next").isNotNull(), "C").alias("deleter"))
+    if not unsettled:
+        return closed
     open_ = ops.where("status <> 'C' AND op = 'P'").select("k", "v", "lsn", F.col("txn_id").alias("xmin"), F.lit(0).cast("long").alias("xmax"), F.col("status").alias("creator"), F.lit(None).cast("string").alias("deleter"))
     return closed.unionByName(open_)
 

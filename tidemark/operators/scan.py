@@ -45,6 +45,12 @@ def scan(df: DataFrame, key: str, low: Bound = Bound(), high: Bound = Bound(), *
     return out.limit(limit) if limit is not None else out
 
 
+def select(df: DataFrame, key: str, pk: Any = None, where: str | None = None, limit: int | None = None) -> DataFrame:
+    """Rows in key order: of one primary key, under a SQL condition, at most ``limit`` of them."""
+    rows = df if pk is None else point(df, key, pk)
+    return scan(rows.where(where) if where else rows, key, limit=limit)
+
+
 def point(df: DataFrame, key: str, value: Any) -> DataFrame:
     return df.where(F.col(key).eqNullSafe(F.lit(value)) if value is None else F.col(key) == value)
 

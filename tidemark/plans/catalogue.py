@@ -122,10 +122,10 @@ class Tables:
     def versions(self) -> DataFrame:
         return self.marked.select("k", "v", "lsn", "xmin", "xmax")
 
-    def seen(self, bound: int, me: int = 0) -> DataFrame:
+    def seen(self, bound: int, me: int = 0) -> DataFrame:  # ``me``: a transaction that also sees its own writes
         """(k, v, lsn, xmin) of what a snapshot sees. Later transactions can't change that, so they aren't read; ends after the bound don't show."""
         ops = history.operations(self.events, max(bound, me + 1))
-        marked = history.settled_versions(history.with_status(ops, self.last), 4 * self.last)
+        marked = history.settled_versions(history.with_status(ops, self.last), 4 * self.last, unsettled=bool(me))
         return visible_among(marked, bound, me or None).select("k", "v", "lsn", "xmin")
 
     @property
@@ -207,7 +207,12 @@ def lower_bound_rank(t):
 
 @query("SELECT c_custkey, c_name, c_acctbal FROM customer WHERE c_acctbal > 9000 ORDER BY c_custkey LIMIT 10")
 def cli_select(t):
-    return t.customer.where(F.expr("c_acctbal > 9000")).orderBy("c_custkey").limit(10).select("c_custkey", "c_name", "c_acctbal")
+    return scan.select(t.customer, "c_custkey", where="c_acctbal > 9000", limit=10).select("c_custkey", "c_name", "c_acctbal")
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey = 42 AND c_acctbal IS NOT NULL")
+def cli_select_pk(t):
+    return scan.select(t.customer, "c_custkey", pk=42, where="c_acctbal IS NOT NULL", limit=1).select("c_custkey", "c_name")
 
 
 # --- Values

@@ -10,8 +10,8 @@ from ..sources.store import TableStore
 
 
 def log_stream(store: TableStore) -> DataFrame:
-    """Operations as a streaming DataFrame (version, seq, op, k, v), staged ones included; join ``commits_stream`` on the folder for committed ones."""
-    kind = T.StructType([*store.schema.fields, T.StructField("op", T.StringType()), T.StructField("seq", T.LongType()), T.StructField("version", T.LongType())])
+    """Operations as a streaming DataFrame (seq, op, k, v, file), staged ones included; join ``commits_stream`` on the file for committed ones and their versions."""
+    kind = T.StructType([*store.schema.fields, T.StructField("op", T.StringType()), T.StructField("seq", T.LongType())])
     return store.spark.readStream.schema(kind).option("recursiveFileLookup", "true").parquet(f"{store.path}/data").withColumn("file", F.regexp_extract(F.input_file_name(), "data/([^/]+)/", 1))
 
 
