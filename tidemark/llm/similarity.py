@@ -1,16 +1,16 @@
 """Near-duplicates by the exact Jaccard similarity of their five-word shingles, with candidates from SimHash.
 
 1. A text is its set of shingles (ASCII lower case, 64-bit hashes); texts with one set are one class.
-2. Each class has ``SEEDS`` SimHash fingerprints of its two-word shingles. The links of ``simhash.near_links`` at
-   ``DISTANCE`` bits come as stars, and any two fingerprints within the distance share a star.
+2. Each class has ``SEEDS`` SimHash fingerprints of its two-word shingles. The components of the links that ``simhash.near_links``
+   finds at ``DISTANCE`` bits are groups: any two fingerprints within the distance share one, and a class is in one group of each seed only.
    Of the pairs at 0.8 or more in 20,000 documents (1,443 of them, edits scattered or at an end) every one was within
    the distance in one of the three; two-word shingles lie closer than longer ones, and what they bring too much is compared and refused.
-3. Within a star the class with the smallest id is the hub, and the others are compared with it on their sets. Who is
-   similar goes, the hub is done with this star, and the rest choose again. So a large group costs a
+3. Within a group the class with the smallest id is the hub, and the others are compared with it on their sets. Who is
+   similar goes, the hub is done with this group, and the rest choose again. So a large group costs a
    comparison for each member, not for each pair. What is left after ``ROUNDS`` is compared where fingerprints are within the distance.
 
 Whoever goes is similar to a class of a smaller id, directly one that stays or the next in such a
-chain; no two classes that stay and share a star are similar. Texts of fewer than five words are one
+chain; no two classes that stay and have fingerprints within the distance are similar. Texts of fewer than five words are one
 shingle; texts without words are one class.
 """
 
@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import free_shuffles, release, small_batches, texts, written
+from .components import components
 from .simhash import majority, mixed, near_links
 
 SEEDS = 3
@@ -112,17 +113,15 @@ def similar_nodes(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(compared(percent), "node long").distinct()
 
 
-def starred(classes: DataFrame) -> DataFrame:
-    """(key, fp, x): the classes ``x`` (order, node) of each star of each seed with more than one."""
+def grouped(classes: DataFrame) -> DataFrame:
+    """(key, fp, x): the classes ``x`` (order, node) of each group with more than one; a class is in one group of each seed."""
     found = None
     for s in range(SEEDS):
         mine = classes.select(F.col("fps")[s].alias("fp"), F.struct(F.col("row.order").alias("order"), "node").alias("x"))
-        links = written(near_links(mine.select("fp").distinct(), DISTANCE), "links")
+        roots = components(near_links(mine.select("fp").distinct(), DISTANCE))
         free_shuffles(classes.sparkSession)
-        star = links.select(F.col("v").alias("fp"), F.col("u").alias("key")).distinct()
-        own = mine.select("fp", F.col("fp").alias("key"), "x")
-        rows = own.unionByName(mine.join(star.hint("shuffle_hash"), "fp").select("fp", "key", "x")).withColumn("key", F.xxhash64(F.lit(s), "key"))
-        found = rows if found is None else found.unionByName(rows)
+        named = mine.join(roots.hint("shuffle_hash"), F.col("fp") == roots["node"], "left").select(F.xxhash64(F.lit(s), F.coalesce("root", "fp")).alias("key"), "fp", "x")
+        found = named if found is None else found.unionByName(named)
     shared = found.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
     return found.join(shared.hint("shuffle_hash"), "key", "left_semi")
 
@@ -136,7 +135,7 @@ def first_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = written(marked.groupBy("node").agg(first.alias("row"), F.first("fps").alias("fps")), "classes")
     free_shuffles(spark)
     release(marked)
-    left = written(starred(classes), "stars")
+    left = written(grouped(classes), "groups")
     free_shuffles(spark)
     wanted = classes.join(left.select("x.node").distinct().hint("shuffle_hash"), "node", "left_semi").select("node", F.col("row.text_hash").alias("text_hash"), F.col("row.doc_id").alias("_id"))
     chosen = hashed.join(wanted.hint("shuffle_hash"), (hashed["text_hash"] == wanted["text_hash"]) & hashed["doc_id"].eqNullSafe(wanted["_id"])).select("node", "text")
@@ -151,7 +150,8 @@ def first_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             met = left.join(hubs, "key").where("x <> hub")
         else:
             near = F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= DISTANCE
-            met = left.join(left.select("key", F.col("x").alias("hub"), F.col("fp").alias("other")), "key").where(F.col("x") > F.col("hub")).where(near)
+            others = left.select(F.col("key").alias("_key"), F.col("x").alias("hub"), F.col("fp").alias("other"))
+            met = left.join(others, (F.col("key") == F.col("_key")) & (F.col("x") > F.col("hub")) & near)
         pairs = written(met.select("x.node", F.col("hub.node").alias("hub")).distinct(), "pairs")
         gone.append(written(similar_nodes(pairs, sets, percent), "similar"))
         release(pairs)
