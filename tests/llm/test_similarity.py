@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from tidemark.llm import similarity, stages
@@ -42,9 +43,11 @@ def test_no_near_copy_stays(spark, folder):
     assert all(any(b < a and share(texts[a], texts[b]) >= 0.8 for b in texts) for a in texts if a not in kept)
 
 
-def test_large_group_and_hot_key(spark, folder, monkeypatch):
-    """A large group of near copies, and stars of all fingerprints in which most are not similar, so that the last round compares pairs."""
+@pytest.mark.parametrize("cell", [3000, 16 << 20])
+def test_large_group_and_hot_key(spark, folder, monkeypatch, cell):
+    """A large group of near copies, and one group of all fingerprints in which most are not similar, so that the last step compares blocks."""
     monkeypatch.setattr(similarity, "ROUNDS", 1)
+    monkeypatch.setattr(similarity, "CELL", cell)
     monkeypatch.setattr(similarity, "near_links", lambda fps, distance: fps.agg(F.min("fp").alias("u")).crossJoin(fps.select(F.col("fp").alias("v"))).where("u <> v"))
     rng = random.Random(5)
     base = [f"w{rng.randrange(10**6)}" for _ in range(80)]
@@ -55,7 +58,7 @@ def test_large_group_and_hot_key(spark, folder, monkeypatch):
     assert sorted(r["doc_id"] for r in stages.near_dedup(spark, df, folder).collect()) == [0, 100, 101, 102, 103, 104]
 
 
-def test_pairs_at_the_threshold_share_a_star():
+def test_pairs_at_the_threshold_share_a_group():
     """Texts whose similarity is just 0.8: the distance in the nearest of the fingerprints."""
     rng = random.Random(8)
     lost = total = 0

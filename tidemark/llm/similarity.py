@@ -7,7 +7,7 @@
    the distance in one of the three; two-word shingles lie closer than longer ones, and what they bring too much is compared and refused.
 3. Within a group the class with the smallest id is the hub, and the others are compared with it on their sets. Who is
    similar goes, the hub is done with this group, and the rest choose again. So a large group costs a
-   comparison for each member, not for each pair. What is left after ``ROUNDS`` is compared where fingerprints are within the distance.
+   comparison for each member, not for each pair. What is left after ``ROUNDS`` is compared by blocks of the group where fingerprints are within the distance.
 
 Whoever goes is similar to a class of a smaller id, directly one that stays or the next in such a
 chain; no two classes that stay and have fingerprints within the distance are similar. Texts of fewer than five words are one
@@ -27,12 +27,13 @@ from pyspark.sql import functions as F
 
 from .common import free_shuffles, release, small_batches, texts, written
 from .components import components
-from .simhash import majority, mixed, near_links
+from .simhash import majority, mixed, near_links, with_end
 
 SEEDS = 3
 DISTANCE = 8
 ROUNDS = 4
 SALTS = 32
+CELL = 16 << 20
 LAST = (1 << 63) - 1
 
 
@@ -113,6 +114,47 @@ def similar_nodes(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(compared(percent), "node long").distinct()
 
 
+def cells(percent: int):
+    """Members sorted by (key, low, high) to the nodes similar to one before them; a cell holds two blocks of a group (or one, met with itself)."""
+
+    def of_cell(low: int, high: int, members: list[tuple]) -> list[int]:
+        members.sort(key=lambda m: m[1:3])
+        block, fp = (np.array([m[i] for m in members]) for i in (0, 3))
+        sets, gone = [np.frombuffer(m[4], np.uint64) for m in members], []
+        for j in range(1, len(members)):
+            near = np.bitwise_count((fp[:j] ^ fp[j]).view(np.uint64)) <= DISTANCE
+            if low != high:
+                near &= block[:j] != block[j]
+            if any(similar(sets[i], sets[j], percent) for i in np.flatnonzero(near).tolist()):
+                gone.append(members[j][2])
+        return gone
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, []
+        for b in with_end(batches):
+            rows = [(None,) * 8] if b is None else zip(*(c.to_pylist() for c in b.columns))
+            for key, low, high, *member in rows:
+                if (key, low, high) != at:
+                    gone = of_cell(*at[1:], held) if len(held) > 1 else []
+                    if gone:
+                        yield pa.RecordBatch.from_arrays([pa.array(gone, pa.int64())], ["node"])
+                    at, held = (key, low, high), []
+                held.append(tuple(member))
+
+    return run
+
+
+def compared_within(left: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Nodes similar to one of smaller id in their group. A group is cut into blocks of about ``CELL`` bytes of sets, and each task compares two blocks; no pairs are made."""
+    members = left.join(sets.withColumn("bytes", F.octet_length("shingles")), F.col("x.node") == sets["node"])
+    sized = left.join(sets.select("node", F.octet_length("shingles").alias("bytes")), F.col("x.node") == sets["node"]).groupBy("key").agg(F.ceil(F.sum("bytes") / CELL).cast("int").alias("blocks"))
+    dealt = members.select("key", F.col("x.order").alias("order"), F.col("x.node").alias("member"), "fp", "shingles").join(sized.where("blocks > 0"), "key")
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("member"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = dealt.select("key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "order", "member", "fp", "shingles")
+    parts = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(parts, "key", "low", "high").sortWithinPartitions("key", "low", "high").mapInArrow(cells(percent), "node long").distinct()
+
+
 def grouped(classes: DataFrame) -> DataFrame:
     """(key, fp, x): the classes ``x`` (order, node) of each group with more than one; a class is in one group of each seed."""
     found = None
@@ -142,21 +184,14 @@ def first_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sets = written(chosen.mapInArrow(sets_of(shingle), "node long, shingles binary").dropDuplicates(["node"]), "shingles")
     free_shuffles(spark)
     gone: list[DataFrame] = []
-    for turn in range(ROUNDS + 1):
+    for _ in range(ROUNDS):
         if left.isEmpty():
             break
-        if turn < ROUNDS:
-            hubs = left.groupBy("key").agg(F.min("x").alias("hub"))
-            met = left.join(hubs, "key").where("x <> hub")
-        else:
-            near = F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= DISTANCE
-            others = left.select(F.col("key").alias("_key"), F.col("x").alias("hub"), F.col("fp").alias("other"))
-            met = left.join(others, (F.col("key") == F.col("_key")) & (F.col("x") > F.col("hub")) & near)
+        hubs = left.groupBy("key").agg(F.min("x").alias("hub"))
+        met = left.join(hubs, "key").where("x <> hub")
         pairs = written(met.select("x.node", F.col("hub.node").alias("hub")).distinct(), "pairs")
         gone.append(written(similar_nodes(pairs, sets, percent), "similar"))
         release(pairs)
-        if turn == ROUNDS:
-            break
         rest = met.select("key", "fp", "x").join(gone[-1], F.col("x.node") == F.col("node"), "left_anti")
         again = written(rest, "keys")
         alone = again.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
@@ -164,6 +199,8 @@ def first_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         release(left, again)
         left = after
         free_shuffles(spark)
+    if not left.isEmpty():
+        gone.append(written(compared_within(left, sets, percent), "similar"))
     stay = classes.select("node", "row")
     if gone:
         stay = stay.join(reduce(DataFrame.unionByName, gone), "node", "left_anti")
