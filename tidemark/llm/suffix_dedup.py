@@ -506,11 +506,13 @@ def repeated_spans(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
     places = wanted.groupBy(F.col("doc").alias("row")).agg(F.collect_list("place").alias("places"))
     rows = base.join(places.hint("shuffle_hash"), "row").select("doc", "row", "text", "places")
     tasks = max(parts, (len(splitters) + 1) // 2)
-    runs = rows.mapInArrow(exchange_rows(length, splitters, hot, tasks), "task int, part int, block binary, doc long, row long, start long, stop long")
+    runs = written(rows.mapInArrow(exchange_rows(length, splitters, hot, tasks), "task int, part int, block binary, doc long, row long, start long, stop long"), "runs")
+    free_shuffles(spark)  # the texts' shuffle goes before the runs' comes
+    release(wanted)
     dealt = runs.repartitionById(tasks, "task").drop("task").sortWithinPartitions("part")
     found = written(dealt.mapInArrow(merge_rows(length), f"block binary, {SPAN}"), "spans")
     free_shuffles(spark)
-    release(wanted)
+    release(runs)
     spans = found.where("stop IS NOT NULL").select("doc", "row", "start", "stop")
     if hot:
         string = found.where("stop IS NULL").select("block", "doc", "row", "start")
