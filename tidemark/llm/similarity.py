@@ -146,9 +146,10 @@ def cells(percent: int):
 
 def compared_within(left: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Nodes similar to one of smaller id in their group. A group is cut into blocks of about ``CELL`` bytes of sets, and each task compares two blocks; no pairs are made."""
-    members = left.join(sets.withColumn("bytes", F.octet_length("shingles")), F.col("x.node") == sets["node"])
-    sized = left.join(sets.select("node", F.octet_length("shingles").alias("bytes")), F.col("x.node") == sets["node"]).groupBy("key").agg(F.ceil(F.sum("bytes") / CELL).cast("int").alias("blocks"))
-    dealt = members.select("key", F.col("x.order").alias("order"), F.col("x.node").alias("member"), "fp", "shingles").join(sized.where("blocks > 0"), "key")
+    sizes = sets.select("node", F.octet_length("shingles").alias("bytes"))
+    sized = left.join(sizes, F.col("x.node") == sizes["node"]).groupBy("key").agg(F.ceil(F.sum("bytes") / CELL).cast("int").alias("blocks"), F.count(F.lit(1)).alias("n")).where("n > 1 AND blocks > 0").drop("n")
+    members = left.join(sized, "key").select("key", F.col("x.order").alias("order"), F.col("x.node").alias("member"), "fp", "blocks")
+    dealt = members.join(sets, F.col("member") == F.col("node"))
     dealt = dealt.withColumn("block", F.pmod(F.xxhash64("member"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = dealt.select("key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "order", "member", "fp", "shingles")
     parts = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -156,14 +157,20 @@ def compared_within(left: DataFrame, sets: DataFrame, percent: int) -> DataFrame
 
 
 def grouped(classes: DataFrame) -> DataFrame:
-    """(key, fp, x): the classes ``x`` (order, node) of each group with more than one; a class is in one group of each seed."""
-    found = None
+    """(key, fp, x): the classes ``x`` (order, node) of each group with more than one; a class is in one group of each seed.
+
+    The links of all seeds are one graph, whose nodes are hashes of seed and fingerprint; hashes that collide only add candidates.
+    """
+    name = lambda s, fp: F.xxhash64(s, fp)
+    links = []
     for s in range(SEEDS):
-        mine = classes.select(F.col("fps")[s].alias("fp"), F.struct(F.col("row.order").alias("order"), "node").alias("x"))
-        roots = components(near_links(mine.select("fp").distinct(), DISTANCE))
+        links.append(written(near_links(classes.select(F.col("fps")[s].alias("fp")).distinct(), DISTANCE), "links"))
         free_shuffles(classes.sparkSession)
-        named = mine.join(roots.hint("shuffle_hash"), F.col("fp") == roots["node"], "left").select(F.xxhash64(F.lit(s), F.coalesce("root", "fp")).alias("key"), "fp", "x")
-        found = named if found is None else found.unionByName(named)
+    edges = reduce(DataFrame.unionByName, (t.select(*(name(F.lit(s), c).alias(c) for c in ("u", "v"))) for s, t in enumerate(links)))
+    roots = components(edges)
+    release(*links)
+    members = classes.select(F.struct(F.col("row.order").alias("order"), "node").alias("x"), F.posexplode("fps").alias("seed", "fp")).select(name("seed", "fp").alias("name"), "fp", "x")
+    found = members.join(roots.hint("shuffle_hash"), F.col("name") == F.col("node"), "left").select(F.coalesce("root", "name").alias("key"), "fp", "x")
     shared = found.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
     return found.join(shared.hint("shuffle_hash"), "key", "left_semi")
 
@@ -185,21 +192,19 @@ def first_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     free_shuffles(spark)
     gone: list[DataFrame] = []
     for _ in range(ROUNDS):
-        if left.isEmpty():
-            break
         hubs = left.groupBy("key").agg(F.min("x").alias("hub"))
         met = left.join(hubs, "key").where("x <> hub")
         pairs = written(met.select("x.node", F.col("hub.node").alias("hub")).distinct(), "pairs")
+        if pairs.isEmpty():
+            release(pairs)
+            break
         gone.append(written(similar_nodes(pairs, sets, percent), "similar"))
-        release(pairs)
-        rest = met.select("key", "fp", "x").join(gone[-1], F.col("x.node") == F.col("node"), "left_anti")
-        again = written(rest, "keys")
-        alone = again.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-        after = written(again.join(alone.hint("shuffle_hash"), "key", "left_semi"), "keys")
-        release(left, again)
-        left = after
+        # A class left alone in its group meets nobody in the next round.
+        rest = written(met.select("key", "fp", "x").join(gone[-1], F.col("x.node") == F.col("node"), "left_anti"), "keys")
+        release(left, pairs)
+        left = rest
         free_shuffles(spark)
-    if not left.isEmpty():
+    else:
         gone.append(written(compared_within(left, sets, percent), "similar"))
     stay = classes.select("node", "row")
     if gone:
