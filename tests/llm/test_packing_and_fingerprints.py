@@ -2,11 +2,13 @@ import hashlib
 import random
 import re
 import zlib
+from collections import Counter
 from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 
 from tidemark.llm import merkle, queries
 from tidemark.llm.packing import ByteBpe, SumOfSquares, pack_documents, packer
@@ -106,12 +108,59 @@ def edited(rows):
         yield d, t, t[: len(t) - k] + nxt[:k], nxt
 
 
+def pieces(line):
+    out, piece = [], ""
+    for c in line:
+        if c != "." and len(piece) == 48:
+            out.append(piece)
+            piece = ""
+        piece += c
+        if c == ".":
+            out.append(piece)
+            piece = ""
+    return out + [piece] * bool(piece)
+
+
+def plain_fingerprint(text):
+    """The published string, from its definition."""
+    sections, h = [[]], lambda parts: hashlib.sha256(b"".join(parts)).digest()
+    for line in text.split("\n"):
+        leaves = [xxhash.xxh64(x.encode()).digest() for x in pieces(line)]
+        sections[-1].append((h(leaves), leaves))
+        if line.strip() == "" or h(leaves)[0] < 32:
+            sections.append([])
+    sections = [s for s in sections if s]
+    tops = [h([p for p, _ in s]) for s in sections]
+    show = lambda s: ";".join(p.hex()[:16] + "".join(x.hex()[:8] for x in leaves) for p, leaves in s)
+    return h(tops).hex() + ":" + "|".join(t.hex()[:16] + ";" + show(s) for t, s in zip(tops, sections))
+
+
+def plain_likeness(a, b):
+    """Dice of the pieces of two texts, no tree."""
+    if a == b:
+        return 1.0
+    x, y = (Counter(p for line in t.split("\n") for p in pieces(line)) for t in (a, b))
+    return 2 * (x & y).total() / max(1, x.total() + y.total())
+
+
+def lines_of(text, runs):
+    """Texts of the lines in ``start:end`` runs."""
+    lines = text.split("\n")
+    return Counter(x for r in runs.split(",") if r for x in lines[int(r.split(":")[0]) : int(r.split(":")[1])])
+
+
 @pytest.mark.parametrize("parts", [1, 5])
 def test_fingerprints(docs, parts):
     rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
-    want = sorted((str(d), len(t), hashlib.sha256(e.encode()).hexdigest(), merkle.Tree(t).fingerprint(), merkle.Tree(e).fingerprint(), round(merkle.likeness(merkle.Tree(t), merkle.Tree(e)), 9), round(merkle.likeness(merkle.Tree(t), merkle.Tree(n)), 9)) for d, t, e, n in edited(rows))
+    want = sorted((str(d), len(t), hashlib.sha256(e.encode()).hexdigest(), plain_fingerprint(t), plain_fingerprint(e), round(plain_likeness(t, e), 9), round(plain_likeness(t, n), 9)) for d, t, e, n in edited(rows))
     got = merkle.fingerprint_documents(docs, parts=parts).collect()
     assert sorted((str(r["doc_id"]), *tuple(r)[1:5], round(r["near_edited"], 9), round(r["near_next"], 9)) for r in got) == want
+    lines = lambda t: Counter(t.split("\n"))
+    texts = {(str(d), hashlib.sha256(e.encode()).hexdigest(), plain_fingerprint(t)): (t, e) for d, t, e, _ in edited(rows)}
+    for r in got:
+        t, e = texts[str(r["doc_id"]), r["edited_sha256"], r["fingerprint"]]
+        assert lines_of(t, r["changed_lines"]) == lines(t) - lines(e)
+        assert lines_of(e, r["edited_changed_lines"]) == lines(e) - lines(t)
 
 
 def test_fingerprints_of_odd_and_empty(odd, empty):
@@ -120,9 +169,12 @@ def test_fingerprints_of_odd_and_empty(odd, empty):
 
 
 def test_tree():
-    a, b = merkle.Tree("one.\ntwo.\n\nthree."), merkle.Tree("one.\nTWO.\n\nthree.")
-    assert a.root != b.root and merkle.Tree("one.\ntwo.\n\nthree.").root == a.root
+    tree = lambda t: merkle.Tree(merkle.fingerprint(t))
+    a, b = tree("one.\ntwo.\n\nthree."), tree("one.\nTWO.\n\nthree.")
+    assert a.root != b.root and tree("one.\ntwo.\n\nthree.").root == a.root
     assert merkle.differences(a, b) == ([1], [1]) and merkle.differences(a, a) == ([], [])
+    assert merkle.differences(tree("a\n\nb\n\nc\nd"), tree("b\n\nnew\nnew\n\na\n\nc\nd")) == ([], [2, 3, 4])
     assert 0 < merkle.likeness(a, b) < 1 and merkle.likeness(a, a) == 1
-    assert merkle.likeness(merkle.Tree(""), merkle.Tree("x")) == 0 and merkle.likeness(merkle.Tree(""), merkle.Tree("")) == 1
-    assert re.fullmatch("[0-9a-f]{64}:[0-9a-f;|]*", a.fingerprint())
+    assert merkle.likeness(tree(""), tree("x")) == 0 and merkle.likeness(tree(""), tree("")) == 1
+    assert merkle.runs([]) == "" and merkle.runs([0, 1, 2, 5, 7, 8]) == "0:3,5:6,7:9"
+    assert re.fullmatch("[0-9a-f]{64}:[0-9a-f;|]*", merkle.fingerprint("one.\n\ntwo"))

@@ -6,9 +6,11 @@ paragraphs that ends after a blank line or where the paragraph's own hash says s
 so that inserting a paragraph doesn't move the sections after it. Leaf: 64-bit hash of the piece;
 node: SHA-256 of the children's hashes; root: SHA-256 of the sections' hashes.
 
-The fingerprint is ``root:leaves`` with eight hexadecimal digits a leaf, ``;`` between paragraphs and ``|``
-between sections. Equal texts have equal roots. ``likeness`` and ``differences`` walk two trees from
-the root and leave out branches with equal hashes.
+The fingerprint holds the whole tree, so it alone can be walked: ``root:section|section``, a section
+being its hash and its paragraphs with ``;`` between them, a paragraph its hash and those of its leaves. The
+root has all 64 hexadecimal digits, sections and paragraphs the first 16 of theirs, leaves 8. Equal texts have
+equal roots. ``likeness`` and ``differences`` walk two fingerprints from the root and leave out branches with
+equal hashes; a paragraph or section that only moved is no difference.
 
 Null text counts as empty: one section, one empty paragraph, no leaf.
 """
@@ -36,31 +38,40 @@ def node(children: bytes) -> bytes:
     return hashlib.sha256(children).digest()
 
 
-class Tree:
-    """``sections``: (hash, [(hash, [leaf hash, ...]), ...])."""
+def fingerprint(text: str) -> str:
+    leaf = xxhash.xxh64_digest
+    sections: list[tuple[bytes, str]] = []
+    open_section: list[tuple[bytes, str]] = []
 
-    __slots__ = ("root", "sections")
+    def close() -> None:
+        h = node(b"".join(x for x, _ in open_section))
+        sections.append((h, ";".join([h[:8].hex(), *(p for _, p in open_section)])))
+        open_section.clear()
 
-    def __init__(self, text: str):
-        leaf = xxhash.xxh64_digest
-        self.sections: list[tuple[bytes, list[tuple[bytes, list[bytes]]]]] = []
-        open_section: list[tuple[bytes, list[bytes]]] = []
-        for line in text.split("\n"):
-            leaves = [leaf(x) for x in PIECES.findall(line)]
-            h = node(b"".join(leaves))
-            open_section.append((h, leaves))
-            if not line.strip() or h[0] < 32:
-                self._close(open_section)
-                open_section = []
-        if open_section:
-            self._close(open_section)
-        self.root = node(b"".join(h for h, _ in self.sections)).hex()
+    for line in text.split("\n"):
+        leaves = [leaf(x) for x in PIECES.findall(line)]
+        h = node(b"".join(leaves))
+        open_section.append((h, h[:8].hex() + b"".join(x[:4] for x in leaves).hex()))
+        if not line.strip() or h[0] < 32:
+            close()
+    if open_section:
+        close()
+    return node(b"".join(h for h, _ in sections)).hex() + ":" + "|".join(s for _, s in sections)
 
-    def _close(self, paragraphs: list[tuple[bytes, list[bytes]]]) -> None:
-        self.sections.append((node(b"".join(h for h, _ in paragraphs)), paragraphs))
 
-    def fingerprint(self) -> str:
-        return self.root + ":" + "|".join(";".join(b"".join(x[:4] for x in leaves).hex() for _, leaves in ps) for _, ps in self.sections)
+class Tree:
+    """A fingerprint taken apart. ``sections``: (hash, [(hash, [leaf hash, ...], number of the paragraph), ...])."""
+
+    __slots__ = ("root", "sections")
+
+    def __init__(self, printed: str):
+        self.root, _, body = printed.partition(":")
+        self.sections: list[tuple[str, list[tuple[str, list[str], int]]]] = []
+        line = 0
+        for section in body.split("|"):
+            h, *paragraphs = section.split(";")
+            self.sections.append((h, [(p[:16], [p[i : i + 8] for i in range(16, len(p), 8)], line + n) for n, p in enumerate(paragraphs)]))
+            line += len(paragraphs)
 
 
 def unshared(a: list, b: list) -> tuple[list, list, list]:
@@ -82,58 +93,81 @@ def unshared(a: list, b: list) -> tuple[list, list, list]:
     return left, right, both
 
 
-def size(sections: list) -> int:
-    return sum(len(leaves) for _, ps in sections for _, leaves in ps)
+def size(paragraphs: list) -> int:
+    return sum(len(p[1]) for p in paragraphs)
+
+
+def inside(sections: list) -> list:
+    return [p for s in sections for p in s[1]]
+
+
+def unshared_paragraphs(a: Tree, b: Tree) -> tuple[list, list, int]:
+    """Paragraphs of each tree without an equal one in the other, and the leaves under branches that both have."""
+    if a.root == b.root:
+        return [], [], size(inside(a.sections))
+    left, right, both = unshared(a.sections, b.sections)
+    shared = size(inside(both))
+    left, right, both = unshared(inside(left), inside(right))
+    return left, right, shared + size(both)
 
 
 def likeness(a: Tree, b: Tree) -> float:
     """Shared leaves over the mean number of leaves (Dice), 0 to 1; equal roots are 1."""
     if a.root == b.root:
         return 1.0
-    total = size(a.sections) + size(b.sections)
+    left, right, shared = unshared_paragraphs(a, b)
+    total = size(left) + size(right) + 2 * shared
     if not total:
         return 0.0
-    left, right, both = unshared(a.sections, b.sections)
-    shared = size(both)
-    left, right, both = unshared([p for _, ps in left for p in ps], [p for _, ps in right for p in ps])
-    shared += sum(len(leaves) for _, leaves in both)
-    mine, yours = Counter(x for _, leaves in left for x in leaves), Counter(x for _, leaves in right for x in leaves)
+    mine, yours = Counter(x for p in left for x in p[1]), Counter(x for p in right for x in p[1])
     if len(yours) < len(mine):
         mine, yours = yours, mine
     shared += sum(min(n, yours.get(x, 0)) for x, n in mine.items())
-    return min(1.0, 2 * shared / total)
+    return 2 * shared / total
 
 
 def differences(a: Tree, b: Tree) -> tuple[list[int], list[int]]:
-    """Numbers of the paragraphs (lines) of each text that the other hasn't got: where an edit lies."""
-    number = lambda t: [(h, i) for i, (h, _) in enumerate(p for _, ps in t.sections for p in ps)]
-    if a.root == b.root:
-        return [], []
-    left, right, _ = unshared(number(a), number(b))
-    return [i for _, i in left], [i for _, i in right]
+    """Numbers of the paragraphs (lines, from 0) of each text that the other hasn't got: where an edit lies."""
+    left, right, _ = unshared_paragraphs(a, b)
+    return [p[2] for p in left], [p[2] for p in right]
 
 
-SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+def runs(numbers: list[int]) -> str:
+    """``start:end`` of each run of following numbers, the end exclusive."""
+    found: list[list[int]] = []
+    for n in numbers:
+        if found and found[-1][1] == n:
+            found[-1][1] = n + 1
+        else:
+            found.append([n, n + 1])
+    return ",".join(f"{a}:{b}" for a, b in found)
+
+
+SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, changed_lines string, edited_changed_lines string"
 
 
 def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows come by (part, place); each document meets the next one of its part. Guests are only the next of others."""
     names = [x.split()[0] for x in SCHEMA.split(", ")]
-    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.string(), pa.string()]
     before, rows = None, []
     for b in small_batches(batches):
-        for part, guest, doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), texts(b)):
+        for part, doc, text in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), texts(b)):
             if before and before[0] != part:
                 before = None  # a part always ends with its guest
-            tree = Tree(text)
+            printed = fingerprint(text)
+            tree = Tree(printed)
             if before:
-                _, _, prior, old, old_tree = before
+                _, prior, old, old_printed, old_tree = before
                 n = len(old)
                 k = n // 3
                 edited = old[: n - k] + text[:k]
-                edited_tree = Tree(edited)
-                rows.append((prior, n, hashlib.sha256(edited.encode()).hexdigest(), old_tree.fingerprint(), edited_tree.fingerprint(), likeness(old_tree, edited_tree), likeness(old_tree, tree)))
-            before = (part, guest, doc, text, tree)
+                edited_printed = fingerprint(edited)
+                edited_tree = Tree(edited_printed)
+                gone, new = differences(old_tree, edited_tree)
+                digest = hashlib.sha256(edited.encode()).hexdigest()
+                rows.append((prior, n, digest, old_printed, edited_printed, likeness(old_tree, edited_tree), likeness(old_tree, tree), runs(gone), runs(new)))
+            before = (part, doc, text, printed, tree)
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
             rows = []
@@ -151,6 +185,9 @@ def in_ranges(base: DataFrame, cuts: list[float]) -> DataFrame:
 def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", parts: int | None = None) -> DataFrame:
     """Fingerprint of each document, of its edited text, and the likeness of both and of the next document.
 
+    ``changed_lines`` and ``edited_changed_lines`` say where the two texts differ: runs ``start:end`` of
+    lines that the other one hasn't got, empty for equal texts.
+
     The next document is the one before in the order of ids (nulls last of all, equal ids by text);
     after the last comes the first. Texts are shuffled once, into ranges of ids; each range also
     gets the first document of the next range as a guest, so no task sees more than a stream.

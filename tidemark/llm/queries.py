@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import documents
 
@@ -77,8 +78,23 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(documents(spark, sf_dir))
 
 
+def mixing_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What of the mix SQL can say: sizes and targets."""
+    return op4_mixing(spark, sf_dir).select("doc_id", "size", "source_size", F.round("target", 3).alias("target"))
+
+
+def edited_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What of the fingerprints SQL can say: lengths and the edited texts."""
+    return op5_merkle(spark, sf_dir).select("doc_id", "n_chars", "edited_sha256")
+
+
+def secret_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What of the secret scan SQL can say: the base counts."""
+    return op8_secrets(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_packing, op2_language, op3_quality_rules, op4_mixing, op5_merkle, op6_simhash, op7_quality, op8_secrets, op9_toxicity, op10_suffix_dedup)
+    f.__name__: f for f in (op1_packing, op2_language, op3_quality_rules, op4_mixing, op5_merkle, op6_simhash, op7_quality, op8_secrets, op9_toxicity, op10_suffix_dedup, mixing_targets, edited_texts, secret_counts)
 }
 
 ORACLES: dict[str, str] = {
@@ -122,4 +138,43 @@ ORACLES: dict[str, str] = {
                n_removed_words
         FROM base
     """,
+    "mixing_targets": r"""
+        WITH d AS (
+            SELECT doc_id, source, CAST(len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS BIGINT) AS size
+            FROM documents
+        ), s AS (
+            SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS i FROM d GROUP BY source
+        ), w AS (
+            SELECT source, source_size, i, CASE i % 3 WHEN 1 THEN 5 WHEN 2 THEN 2 ELSE 1 END AS w FROM s
+        ), r AS (
+            -- By the level at which a source is full: what those before it hold, and the weights from it on.
+            SELECT *, 1.5 * sum(source_size) OVER () AS total,
+                   coalesce(sum(2 * source_size) OVER (ORDER BY 2.0 * source_size / w, i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS held,
+                   sum(w) OVER (ORDER BY 2.0 * source_size / w, i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest
+            FROM w
+        ), t AS (
+            SELECT source, source_size, least(2.0 * source_size, w * max((total - held)::DOUBLE / rest) OVER ()) AS target FROM r
+        )
+        SELECT doc_id, size, source_size, round(target::DOUBLE, 3) AS target FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+    """,
+    "edited_texts": r"""
+        WITH d AS (
+            SELECT doc_id, coalesce(text, '') AS t FROM documents
+        ), n AS (
+            SELECT doc_id, t, length(t) AS n, coalesce(lead(t) OVER by_id, first_value(t) OVER by_id) AS nx
+            FROM d WINDOW by_id AS (ORDER BY doc_id DESC NULLS LAST, t)
+        )
+        SELECT doc_id, CAST(n AS BIGINT) AS n_chars, sha256(substring(t, 1, n - n // 3) || substring(nx, 1, n // 3)) AS edited_sha256 FROM n
+    """,
+    "secret_counts": r"""
+        WITH d AS (
+            SELECT doc_id, coalesce(text, '') AS t FROM documents
+        )
+        SELECT doc_id,
+               CAST(len(list_filter(regexp_extract_all(t, '([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["\x27]?\x20*[:=]\x20*["\x27]?([A-Za-z0-9+/_.=-]+)', 2),
+                                    lambda x: length(x) >= 6)) AS BIGINT) AS n_assign,
+               CAST(len(list_filter(regexp_extract_all(t, 'AKIA[A-Z0-9]+'), lambda x: length(x) >= 20)) AS BIGINT) AS n_access,
+               CAST(len(list_filter(regexp_extract_all(t, '[0-9a-f]+'), lambda x: length(x) >= 24)) AS BIGINT) AS n_hex
+        FROM d
+    """,
 }
