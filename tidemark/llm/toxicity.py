@@ -6,8 +6,9 @@ each goes through a forward and a backward GRU, attention weighs the positions,
 scores the window. A document's score is a logistic
 function of its windows' worst, summed and mean probabilities, so that a chance word in a long text weighs little.
 
-Only documents carry labels, so training alternates: score the windows of toxic documents, take the
-worst as positive, and the worst of the others as hard negatives. Everything is trained in numpy on
+Only documents carry labels, so training alternates: mark the windows of toxic documents, take the
+worst as positive, and the worst of the others as hard negatives. The network's own logits are the marks,
+but before it has learnt anything, it is how much more often a window's words occur in toxic documents. Everything is trained in numpy on
 at most ``SAMPLE`` labelled documents of each label outside the held-out fold, none longer than
 ``FIT_BYTES`` (which bounds what the driver receives; scoring reads whole texts).
 
@@ -319,8 +320,22 @@ class Fitter:
         return out
 
 
+def suspicion(numbered: list[np.ndarray], words: list[str], y: np.ndarray) -> np.ndarray:
+    """By word number: how far the share of toxic documents with the word lies above that of the others, in standard errors. The blank has none."""
+    bare: dict[str, int] = {}
+    of = np.array([0, *(bare.setdefault(w.strip(PUNCTUATION), len(bare) + 1) for w in words)])
+    found = np.zeros((2, len(bare) + 1))
+    for x, label in zip(numbered, y):
+        found[int(label == 1), np.unique(of[x])] += 1
+    n = np.array([(y != 1).sum(), (y == 1).sum()], float)
+    rate = found.sum(axis=0) / n.sum()
+    z = (found[1] / n[1] - found[0] / n[0]) / np.sqrt(np.maximum(rate * (1 - rate), 1e-9) * (1 / n).sum())
+    z[0] = -np.inf
+    return z[of].astype(np.float32)
+
+
 def fit(texts_: list[str], y: np.ndarray, rounds: int = 7, most: int = 6_000, seed: int = 5) -> Network:
-    """Round 0 takes random windows under their document's label; later rounds take the worst windows (see the module)."""
+    """Round 0 takes the windows with the most suspicious words; later rounds take those that the network finds worst (see the module)."""
     flat = Network({k: np.zeros(s, np.float32) for k, s in SHAPES.items()}, flat=float(y.mean()) if len(y) else 0.0)
     vocabulary = Vocabulary()
     numbered = [np.fromiter((vocabulary[w] for w in t.lower().split()), np.int32) for t in texts_]
@@ -344,15 +359,21 @@ def fit(texts_: list[str], y: np.ndarray, rounds: int = 7, most: int = 6_000, se
 
     for r in range(rounds):
         if r == 0:
-            pos, hard = rng.choice(bad, min(len(bad), 2 * most), replace=False), good[:0]
+            by_word = suspicion(numbered, vocabulary.news, y)
+            marks = by_word[ids[:, 0]]
+            for t in range(1, WINDOW):
+                np.maximum(marks, by_word[ids[:, t]], out=marks)
+            top, least = np.full(len(y), -np.inf), -np.inf
+            np.maximum.at(top, owners, marks)
         else:
             logits = fitter.logits()
+            marks, least = np.clip(logits, -15, 15), 0.0
             top = summary(logits).top
-            # The worst window of each toxic document, and others that score as clean ones hardly do.
-            limit = max(0.0, float(np.quantile(logits[good], 0.9995)))
-            pos = bad[(np.clip(logits[bad], -15, 15) >= top[owners[bad]]) | (logits[bad] > limit)]
-            pos = rng.choice(pos, min(len(pos), most), replace=False)
-            hard = good[np.argsort(-logits[good])[:most]]
+        # The worst windows of each toxic document, and others that are marked as clean ones hardly are.
+        limit = max(least, float(np.quantile(marks[good], 0.9995)))
+        pos = bad[(marks[bad] >= top[owners[bad]]) | (marks[bad] > limit)]
+        pos = rng.choice(pos, min(len(pos), most), replace=False)
+        hard = good[np.argsort(-marks[good])[:most]]
         chosen = np.concatenate([pos, rng.choice(good, min(len(good), 2 * most), replace=False), hard])
         for _ in range(2):
             fitter.run(chosen, (y[owners[chosen]] == 1).astype(np.float32), rate=0.01 if r < rounds - 2 else 0.004)
