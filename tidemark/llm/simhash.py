@@ -4,8 +4,9 @@ The 64 bits are grouped into partitions so that correlated bits lie together. Th
 partition (-1 for none) with sum of (threshold + 1) = distance + 1 lose no pair: if every partition
 differed by more than its threshold, the whole would differ by more than the distance (Qin et al., "GPH: similarity
 search in Hamming space"). Partitioning and thresholds come from a bounded sample of fingerprints
-(``SAMPLE`` of them): dynamic programming over the partitions minimises the estimated candidates
-plus probes. They change the cost only, never the links.
+(``SAMPLE`` of them): dynamic programming over the partitions minimises the estimated comparisons
+plus entries. They change the cost only, never the links. Entries are rows and dear, while a value that
+grows is split again inside its task (see ``link``), so more fingerprints bring more of them to a value, not more entries for each.
 
 Every distinct fingerprint is put under its value in each partition used (an index entry) and under
 all values within the threshold (probes); entries with one value meet and are verified on all 64
@@ -35,6 +36,8 @@ from .components import components
 
 SAMPLE = 4096
 HOT = 1_000_000
+#: Entries of one value that are compared directly; more are split by their other bits first.
+DIRECT = 4096
 
 
 def fingerprint(text: str, shingle: int = 3, seed: int = 42) -> int:
@@ -103,21 +106,26 @@ def allocate(cost: list[list[float]], distance: int) -> tuple[float, list[int]]:
 
 def plan(sample: np.ndarray, n_all: int, distance: int) -> list[tuple[np.uint64, list[int], int]]:
     """(mask, bits, threshold) of the partitions used."""
-    probe_price, most_probes = 500.0, 4096  # an entry is shuffled and sorted, a candidate only compared
+    entry_price, most_probes = 800.0, 4096  # an entry is shuffled, sorted and grouped (about 3 us), a candidate only compared (about 4 ns)
     found = None
     pairs = sample[: 1 << 10]
     differ = pairs[:, None] ^ pairs[None, :]
-    scale = n_all * (n_all - 1) / max(1, len(pairs) * (len(pairs) - 1))
+    among = max(1, len(pairs) * (len(pairs) - 1))
     for n_parts in range(1, distance + 2):
         groups = group_bits(sample, n_parts)
         costs = []
         for bits in groups:
-            apart = np.bitwise_count(differ & mask_of(bits))
+            mask = mask_of(bits)
+            apart = np.bitwise_count(differ & mask)
+            split = [max(0, int((differ & g == 0).sum()) - len(pairs)) / among for g in other_groups(int(mask), distance + 1)]
             row = [0.0]
             for t in range(distance + 1):
                 probes = sum(comb(len(bits), k) for k in range(t + 1))
-                close = max(0, int((apart <= t).sum()) - len(pairs))
-                row.append(close * scale + n_all * probes * probe_price if probes <= most_probes else float("inf"))
+                met = max(0, int((apart <= t).sum()) - len(pairs)) / among * (n_all - 1)
+                while met > DIRECT and sum(split) < 0.9:  # a step of ``link``
+                    met *= sum(split)
+                # Index entries of one value are compared once a pair, probes with each index entry.
+                row.append(n_all * ((0.5 if t == 0 else 1.0) * met + probes * entry_price) if probes <= most_probes else float("inf"))
             costs.append(row)
         total, thresholds = allocate(costs, distance)
         if found is None or total < found[0]:
@@ -192,10 +200,11 @@ class Forest:
         return np.fromiter(map(self.find, members), np.int64, len(members))
 
 
-def link(fp: np.ndarray, own: np.ndarray, distance: int, forest: Forest, at: np.ndarray, mask: int = 0, block: int = 1024) -> None:
+def link(fp: np.ndarray, own: np.ndarray, distance: int, forest: Forest, at: np.ndarray, mask: int = 0, block: int = 1024, height: int = 128) -> None:
     """Join all pairs ``at`` within the distance of which one is an index entry; large sets are split by the other bits first.
 
-    Pairs already joined over others aren't joined again, so a dense set costs its comparisons only.
+    Pairs already joined over others aren't joined again, so a dense set costs its comparisons only. ``height`` rows at
+    a time meet ``block`` others, so that what a step makes stays in the processor's cache.
     """
     members = at[np.argsort(~own[at], kind="stable")]
     names = members.tolist()
@@ -203,31 +212,35 @@ def link(fp: np.ndarray, own: np.ndarray, distance: int, forest: Forest, at: np.
     if (known == known[0]).all():
         return
     free = 64 - int(mask).bit_count()
-    if len(at) > 4 * block and free > distance:
+    if len(at) > DIRECT and free > distance:
         for group in other_groups(mask, distance + 1):
             value = fp[at] & group
             order = np.argsort(value, kind="stable")
             cuts = np.flatnonzero(np.diff(value[order])) + 1
             for part in np.split(at[order], cuts):
                 if len(part) > 1:
-                    link(fp, own, distance, forest, part, mask | int(group), block)
+                    link(fp, own, distance, forest, part, mask | int(group), block, height)
         return
-    values, n_own = fp[members], int(own[members].sum())
-    for start in range(0, n_own, block):
-        rows = values[start : min(start + block, n_own)]
+    values, n_own, joined = fp[members], int(own[members].sum()), 0
+    for start in range(0, n_own, height):
+        rows = values[start : min(start + height, n_own)]
         for lower in range(start, len(values), block):
-            i, j = np.nonzero(np.bitwise_count(rows[:, None] ^ values[None, lower : lower + block]) <= distance)
+            others = values[lower : lower + block]
+            i, j = np.divmod(np.flatnonzero(np.bitwise_count(rows[:, None] ^ others) <= distance), len(others))
             i, j = i + start, j + lower
-            while True:
-                apart = (j > i) & (known[i] != known[j])
-                i, j = i[apart], j[apart]
+            apart = (j > i) & (known[i] != known[j])
+            i, j = i[apart], j[apart]
+            while len(i):
                 for a, c in zip(i[:block].tolist(), j[:block].tolist()):
                     forest.join(names[a], names[c])
-                if len(i) <= block:
-                    break
-                i, j, known = i[block:], j[block:], forest.roots(names)
-                if (known == known[0]).all():
-                    return
+                joined += min(block, len(i))
+                i, j = i[block:], j[block:]
+                if joined >= block:
+                    known, joined = forest.roots(names), 0
+                    if (known == known[0]).all():
+                        return
+                    apart = known[i] != known[j]
+                    i, j = i[apart], j[apart]
 
 
 def verify(distance: int):
