@@ -39,8 +39,12 @@ def bucketed(df: DataFrame, order: list[str], name: str) -> DataFrame | None:
     kind = T.StructType([T.StructField("_bounds", T.ArrayType(drawn.schema))])
     at, step = F.lit(0), 1 << (len(bounds).bit_length() - 1)
     key = F.struct(*order)
+
+    def moved(at: Column, step: int) -> Column:  # no second parameter in the lambda: ``transform`` would pass the index
+        return let(at, lambda p: F.when(F.get("_bounds", p + (step - 1)) <= key, p + step).otherwise(p))
+
     while step:  # how many bounds are at or below the key, by bisection
-        at = let(at, lambda p, step=step: F.when(F.get("_bounds", p + (step - 1)) <= key, p + step).otherwise(p))
+        at = moved(at, step)
         step //= 2
     return df.join(F.broadcast(df.sparkSession.createDataFrame([(bounds,)], kind))).withColumn(name, at).drop("_bounds")
 
