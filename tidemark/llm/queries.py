@@ -94,9 +94,12 @@ def secret_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_packing, op2_language, op3_quality_rules, op4_mixing, op5_merkle, op6_simhash, op7_quality, op8_secrets, op9_toxicity, op10_suffix_dedup, mixing_targets, edited_texts, secret_counts)
+    f.__name__: f for f in (op1_packing, op2_language, op3_quality_rules, op4_mixing, op5_merkle, op6_simhash, op7_quality, op8_secrets, op9_toxicity, op10_suffix_dedup)
 }
 
+#: What SQL can say of operators that it can't express whole.
+PARTS: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (mixing_targets, edited_texts, secret_counts)}
+
 ORACLES: dict[str, str] = {
     "op3_quality_rules": r"""
         WITH d AS (
@@ -138,6 +141,9 @@ ORACLES: dict[str, str] = {
                n_removed_words
         FROM base
     """,
+}
+
+PART_ORACLES: dict[str, str] = {
     "mixing_targets": r"""
         WITH d AS (
             SELECT doc_id, source, CAST(len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS BIGINT) AS size
