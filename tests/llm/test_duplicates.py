@@ -3,6 +3,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -158,6 +159,33 @@ def test_removal_around_a_frequent_line(spark, monkeypatch, hot, group):
     assert removed(df) == brute_removal(ordered(df), 100)
 
 
+def test_strings_around_a_hot_gram_are_held_in_steps(spark, monkeypatch):
+    """A task passes them on as they become many, and what an entry loses is one span."""
+    monkeypatch.setattr(suffix_dedup, "HOT", 5)
+    monkeypatch.setattr(suffix_dedup, "PICK", 1)
+    monkeypatch.setattr(suffix_dedup, "STRINGS", 200, raising=False)
+    monkeypatch.setattr(suffix_dedup, "SPANS", 50)
+    texts = shared_line_texts(150)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    assert removed(df) == brute_removal(ordered(df), 100)
+    at = [suffix_dedup.samples(t.encode(), 100)[0].tolist() for t in texts]
+    grams = frozenset(t.encode()[p : p + suffix_dedup.GRAM] for t, places in zip(texts, at) for p in places)
+    rows = pa.RecordBatch.from_pydict({"doc": list(range(150)), "row": list(range(150)), "text": texts, "places": at})
+    sizes = [b.num_rows for b in suffix_dedup.exchange_rows(100, [], grams, 4)(iter([rows]))]
+    assert len(sizes) > 5 and max(sizes) < 200 + 70
+
+
+def test_a_large_group_loses_one_span_an_entry():
+    rng = random.Random(8)
+    gram = b"g" * suffix_dedup.GRAM
+    sides = [bytes(rng.choice(b"ab") for _ in range(68)) for _ in range(9)]
+    group = sorted((gram + rng.choice(sides)[: rng.randrange(30, 69)], rng.choice(sides)[: rng.randrange(69)], i, i, 100) for i in range(200))
+    prefixes = [0] + [suffix_dedup.common(a[0], b[0]) for a, b in zip(group, group[1:])]
+    out = []
+    suffix_dedup.resolve(group, prefixes, 100, out)
+    assert 50 < len(out) == len({x[1] for x in out})
+
+
 def test_groups_by_common_prefixes():
     """Entries of one group in any number, some near the ends of their texts, against comparing all pairs."""
     rng = random.Random(3)

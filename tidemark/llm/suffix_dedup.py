@@ -15,7 +15,7 @@ hold a sampled suffix at the same place, and comparing what lies around equal sa
    order of what lies to the left, decide which entries hold one string; the oldest keeps it. A large group is
    resolved in steps, between which only entries that a later one can need are held.
 4. A gram in more than ``HOT`` entries isn't left to one task: each run keeps the oldest place of every string around
-   it, and these meet by a 128-bit hash of the string, one row for each run at most.
+   it, and these meet by a 128-bit hash of the string, one row for each ``STRINGS`` of a run at most.
 5. The spans meet their texts again and are cut out.
 
 Order of documents: id (nulls last), then a hash of the row. Rows equal in id and text count as one
@@ -47,6 +47,8 @@ RANGE = 200_000
 GROUP = 50_000
 #: A gram expected in more entries than this isn't sorted into a range: its strings are dealt by their own hashes.
 HOT = 200_000
+#: Strings around hot grams that a task holds at once.
+STRINGS = 200_000
 #: One sample in so many carries its gram; so many are used at most to choose the ranges.
 PICK = 64
 PICKED = 40_000
@@ -291,6 +293,7 @@ def resolve(group: list[tuple], prefixes: list[int], length: int, out: list) ->
     cuts = np.unique(np.concatenate(([0], length - to_right, to_left + 1, length - n_right, n_left + 1)))
     cuts = cuts[(cuts >= 0) & (cuts < width)].tolist()
     oldest = np.zeros(n, bool)
+    least, most = np.full(n, width), np.full(n, -1)  # each string covers the gram, so what an entry loses is one span
     for low, high in zip(cuts, [*(c - 1 for c in cuts[1:]), width - 1]):
         whole = np.flatnonzero((n_right >= length - low) & (n_left >= low))
         if not len(whole):
@@ -302,9 +305,12 @@ def resolve(group: list[tuple], prefixes: list[int], length: int, out: list) ->
         new = np.concatenate(([True], key[order][1:] != key[order][:-1]))
         lead = age[whole][order][new][np.cumsum(new) - 1]
         oldest[whole[order[new]]] = True
-        for i in whole[order[age[whole][order] != lead]].tolist():
-            e = group[i]
-            out.append((e[2], e[3], e[4] - high, e[4] - low + length))
+        lost = whole[order[age[whole][order] != lead]]
+        least[lost] = np.minimum(least[lost], low)
+        most[lost] = high
+    for i in np.flatnonzero(most >= 0).tolist():
+        e = group[i]
+        out.append((e[2], e[3], e[4] - int(most[i]), e[4] - int(least[i]) + length))
     return np.flatnonzero(oldest).tolist()
 
 
@@ -342,20 +348,36 @@ SPAN = "doc long, row long, start long, stop long"
 def exchange_rows(length: int, splitters: list[bytes], hot: frozenset[bytes], tasks: int):
     """Rows for ``merge_rows``: runs of ranges, ranges in order over ``tasks``, and spans and strings that are merely passed on."""
     width, ranges = length - GRAM + 1, len(splitters) + 1
+    most_strings, most_spans = STRINGS, SPANS
 
-    def strings(entries: list[tuple], out: list) -> dict[bytes, tuple]:
-        """The oldest place of each string of ``length`` bytes around hot grams; the others are spans at once."""
+    def strings(entries: list[tuple], out: list) -> Iterator[dict[bytes, tuple]]:
+        """The oldest place of each string of ``length`` bytes around hot grams, ``STRINGS`` or so at once; the others are spans."""
         first: dict[bytes, tuple] = {}
         for right, left, order, doc, place in entries:
-            window, before = left[::-1] + right, len(left)
+            window, before, lost = left[::-1] + right, len(left), []
             for at in range(len(window) - length + 1):
                 key, here = xxhash.xxh3_128_digest(window[at : at + length]), (order, doc, place - before + at)
                 was = first.setdefault(key, here)
-                if was != here:
-                    old, young = sorted((was, here))
-                    first[key] = old
-                    out.append((*young, young[2] + length))
-        return first
+                if was < here:
+                    lost.append(here[2])
+                elif was > here:
+                    first[key] = here
+                    out.append((*was, was[2] + length))
+            if lost:  # they all cover the gram
+                out.append((order, doc, lost[0], lost[-1] + length))
+            if len(first) >= most_strings or len(out) >= most_spans:
+                yield first
+                first = {}
+        yield first
+
+    def batch(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        if rows:
+            kinds = [pa.int32(), pa.int32(), pa.binary()] + [pa.int64()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["task", "part", "block", "doc", "row", "start", "stop"])
+
+    def passing(out: list[tuple]) -> Iterator[pa.RecordBatch]:
+        yield from batch([(x[1] % tasks, SPAN_HERE, None, *x) for x in compacted(out)])
+        out.clear()
 
     def flush(entries: list[tuple]) -> Iterator[pa.RecordBatch]:
         entries.sort()
@@ -367,22 +389,20 @@ def exchange_rows(length: int, splitters: list[bytes], hot: frozenset[bytes], ta
                     whole_window(e, length, out)
             else:
                 kept.append(e)
-        found = strings([e for e in kept if e[0][:GRAM] in hot], out) if hot else {}
         if hot:
+            for found in strings([e for e in kept if e[0][:GRAM] in hot], out):
+                yield from batch([(place[1] % tasks, HOT_STRING, h, *place, None) for h, place in found.items()])
+                if len(out) >= most_spans:
+                    yield from passing(out)
             kept = [e for e in kept if e[0][:GRAM] not in hot]
+        yield from passing(out)
         parts, at = [], 0
         while at < len(kept):
             part = bisect_right(splitters, kept[at][0][:GRAM])
             end = bisect_left(kept, splitters[part], at, key=lambda e: e[0][:GRAM]) if part < len(splitters) else len(kept)
             parts.append((part, segment(kept[at:end])))
             at = end
-        out = compacted(out)
-        rows = [(p * tasks // ranges, p, x, None, None, None, None) for p, x in parts]
-        rows += [(place[1] % tasks, HOT_STRING, h, *place, None) for h, place in found.items()]
-        rows += [(x[1] % tasks, SPAN_HERE, None, *x) for x in out]
-        if rows:
-            kinds = [pa.int32(), pa.int32(), pa.binary()] + [pa.int64()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["task", "part", "block", "doc", "row", "start", "stop"])
+        yield from batch([(p * tasks // ranges, p, x, None, None, None, None) for p, x in parts])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         entries: list[tuple] = []
