@@ -38,6 +38,20 @@ def test_ids_equal_whole_encoding(tokenizer, docs):
     assert got == want
 
 
+def test_frequent_pieces_are_learnt_once(tokenizer, monkeypatch):
+    """When the pieces known are too many, those met early stay; a word with marks is made of the word."""
+    rng, common = random.Random(5), ["the", "of", "niño", "x", "Straße", "日本", "ªº", "ΐ"]
+    batches = [[" ".join(rng.choice(common) + rng.choice(["", ".", ",", "\nand", "!?"]) for _ in range(30)) + " " + "".join(rng.choice("abcdeéß") for _ in range(9)) for _ in range(20)] for _ in range(15)]
+    encode, asked, wholes = ByteBpe(queries.tokenizer_path(), most=250), Counter(), Counter()
+    learn, whole = encode.learn, encode.whole
+    monkeypatch.setattr(encode, "learn", lambda missing: (asked.update(missing), learn(missing))[1])
+    monkeypatch.setattr(encode, "whole", lambda text: (wholes.update([text]), whole(text))[1])
+    for batch in batches:
+        assert list(encode(batch)) == [np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in batch]
+    assert len(asked) > 300 and {asked[w] for w in common} == {1}
+    assert not any(w.strip().isalpha() for w in wholes)
+
+
 @pytest.mark.parametrize("window", [2048, 64])
 def test_pieces(docs, tokenizer, window):
     rows = pack_documents(docs, queries.tokenizer_path(), window=window).collect()

@@ -15,6 +15,8 @@ Null or empty text: the end id alone. Equal rows are packed separately. A null i
 from __future__ import annotations
 
 import functools
+import itertools
+import os
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -39,67 +41,91 @@ class ByteBpe:
 
     The byte-level pattern begins a new word at a space that a non-space follows, so what lies
     between single spaces can be encoded apart, once for a batch. A piece of letters, with a line
-    feed before or marks after, is split further; new words of letters are encoded together.
-    Texts with white space next to white space are encoded whole.
+    feed before or marks after, is split further; new words of letters are encoded together and
+    told apart by the bytes that each id stands for. Texts with white space next to white space are
+    encoded whole. When more than ``most`` pieces are known, the older half stays: frequent ones are met early.
     """
 
     def __init__(self, path: str, most: int = 800_000):
         from tokenizers import Tokenizer
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         self.tokenizer, self.most = Tokenizer.from_file(path), most
-        self.pieces: dict[str, bytes | None] = {}
+        added = self.tokenizer.get_added_tokens_decoder()
+        size = {i: len(t) for t, i in self.tokenizer.get_vocab().items()} | {i: len(t.content.encode()) for i, t in added.items()}
+        #: Bytes of each id: a token has one character for each.
+        self.sizes = np.array([size.get(i, 0) for i in range(max(size) + 1)], np.int64)
+        #: Empty for a piece that has white space at an end; those are ``irregular`` too.
+        self.pieces: dict[str, bytes] = {}
+        self.irregular: set[str] = set()
         self.line_feed = self.whole("\n")
         self.marks: dict[str, bytes] = {"": b""}
 
     def whole(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def words(self, words: list[str], before: str) -> list[bytes]:
-        """Ids of words of letters, each after a space or a line feed (whose own id is left out)."""
-        out: list[bytes] = []
-        for at in range(0, len(words), 256):
-            part = words[at : at + 256]
-            found = self.tokenizer.encode(before + before.join(part), add_special_tokens=False)
-            ids, owner = np.array(found.ids, "<u4"), np.array(found.word_ids)
-            cuts = np.concatenate(([0], np.flatnonzero(np.diff(owner)) + 1, [len(ids)]))
-            step = 1 if before == " " else 2
-            if len(cuts) - 1 == step * len(part):
-                raw, ends = ids.tobytes(), (4 * cuts).tolist()
-                out += [raw[ends[i] : ends[i + 1]] for i in range(step - 1, len(ends) - 1, step)]
+    def words(self, words: list[str], before: str) -> Iterator[bytes]:
+        """Ids of words of letters, each after a space or a line feed, which is a piece of its own."""
+        for at in range(0, len(words), 1024):
+            part = words[at : at + 1024]
+            text = before + before.join(part)
+            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+            stops = np.cumsum(self.sizes[ids])
+            raw = np.frombuffer((text + before).encode(), np.uint8)
+            want = np.flatnonzero(raw == ord(before))[1:]  # ends of the words
+            cuts = np.searchsorted(stops, want)
+            if len(stops) and stops[-1] == want[-1] and (stops[cuts] == want).all():
+                known, start = ids.tobytes(), 0
+                for stop in (4 * cuts + 4).tolist():
+                    yield known[start:stop]
+                    start = stop
             else:
-                out += [self.whole(" " + w) if step == 1 else self.whole("\n" + w)[len(self.line_feed) :] for w in part]
-        return out
+                yield from (self.whole(before + w) for w in part)
 
     def learn(self, missing: set[str]) -> None:
-        """A key that begins with a line feed stands for a piece after it, without a space; others follow a space. None: irregular."""
-        spaced: dict[str, list] = {}
-        lined: dict[str, list] = {}
+        """A key that begins with a line feed stands for a piece after it, without a space; others follow a space."""
+        pieces, spaced, marked = self.pieces, [], []
         for key in missing:
-            lf, bare = key[:1] == "\n", key.rstrip(MARKS)
-            word, mark = bare[lf:], key[len(bare) :]
-            if word.isalpha():
+            if key.isalpha():
+                spaced.append(key)
+                continue
+            bare = key.rstrip(MARKS)
+            if bare.isalpha() or (bare[:1] == "\n" and bare[1:].isalpha()):
+                marked.append((key, bare, key[len(bare) :]))
+                continue
+            lf = key[:1] == "\n"
+            if not (body := key[lf:]) or body[0].isspace() or body[-1].isspace():
+                pieces[key] = b""
+                self.irregular.add(key)
+            else:
+                pieces[key] = self.whole(key if lf else " " + key)
+        bares = {bare for _, bare, _ in marked if bare not in pieces}
+        lined = [bare[1:] for bare in bares if bare[0] == "\n"]
+        spaced += [bare for bare in bares if bare[0] != "\n" and bare not in missing]
+        pieces.update(zip(spaced, self.words(spaced, " ")))
+        pieces.update(zip(["\n" + w for w in lined], self.words(lined, "\n")))
+        for key, bare, mark in marked:
+            if mark:
                 if mark not in self.marks:
                     self.marks[mark] = self.whole(mark)
-                (lined if lf else spaced).setdefault(word, []).append((key, self.marks[mark]))
-            elif not (body := key[lf:]) or body[0].isspace() or body[-1].isspace():
-                self.pieces[key] = None
-            else:
-                self.pieces[key] = self.whole(key if lf else " " + key)
-        for found, before, head in ((spaced, " ", b""), (lined, "\n", self.line_feed)):
-            for ids, keys in zip(self.words(list(found), before), found.values()):
-                for key, mark in keys:
-                    self.pieces[key] = head + ids + mark
+                pieces[key] = pieces[bare] + self.marks[mark]
 
     def __call__(self, batch: list[str]) -> Iterator[bytes]:
-        split = [("\n" + t).replace("\n", " \n").split(" ")[1:] for t in batch]
         if len(self.pieces) > self.most:
-            self.pieces.clear()
+            self.pieces = dict(itertools.islice(self.pieces.items(), self.most // 2))
+            self.irregular &= self.pieces.keys()
             self.marks = {"": b""}
-        self.learn(set().union(*split).difference(self.pieces))
-        get = self.pieces.__getitem__
-        for text, parts in zip(batch, split):
-            ids = list(map(get, parts))
-            yield self.whole(text) if None in ids else b"".join(ids)[len(self.line_feed) :]
+        pieces, get = self.pieces, self.pieces.get
+        split = [("\n" + t).replace("\n", " \n").split(" ")[1:] for t in batch]
+        found = [list(map(get, parts)) for parts in split]
+        self.learn({key for parts, ids in zip(split, found) if None in ids for key, x in zip(parts, ids) if x is None})
+        for text, parts, ids in zip(batch, split, found):
+            if self.irregular and not self.irregular.isdisjoint(parts):
+                yield self.whole(text)
+            else:
+                if None in ids:
+                    ids = [pieces[key] if x is None else x for key, x in zip(parts, ids)]
+                yield b"".join(ids)[len(self.line_feed) :]
 
 
 @functools.cache
@@ -193,7 +219,7 @@ def packer(path: str, end_id: int, window: int, max_open: int):
             rows.clear()
             return out
 
-        for b in small_batches(batches):
+        for b in small_batches(batches, most=1 << 19):
             for doc, ids in zip(b.column(0).to_pylist(), encode(texts(b))):
                 ids += end
                 n = len(ids) // 4
